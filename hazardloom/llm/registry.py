@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm import components, consensus, mixing, splits
+from hazardloom.llm import components, consensus, leaks, mixing, splits
 from hazardloom.storage import Workspace, table, utc
 
 
@@ -65,6 +65,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_groups(links, Workspace(spark, "p7")).select(F.col("id").alias("report_id"), F.col("root").alias("group_root"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold parts of evaluation passages, with the items."""
+    utc(spark)
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each test item leaked into."""
+    items = table(spark, d, "eval_items").select("item_id", "suite", "lang", "split_name")
+    return items.join(p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs")), "item_id", "left").na.fill(0, ["n_docs"])
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     utc(spark)
     return mixing.mix(table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "mix_targets"), Workspace(spark, "p9"))
@@ -88,6 +100,8 @@ QUERIES = {
     "p6_splits": p6_splits,
     "p6_forest": p6_forest,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
 }
