@@ -65,6 +65,13 @@ class Index:
     list_max: dict[str, float] = field(default_factory=dict)
     threshold: list[float] = field(default_factory=list)
     least: float = math.inf
+    seeds: dict[int, set] = field(default_factory=dict)
+
+    def runs(self, k: int) -> set:
+        """The runs of ``SEED`` words of an item, made when it is first asked for."""
+        if k not in self.seeds:
+            self.seeds[k] = set(shingles(self.words[k], SEED))
+        return self.seeds[k]
 
 
 def shingles(units, size: int) -> list:
