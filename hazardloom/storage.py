@@ -61,6 +61,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
+def spread(df: DataFrame, waves: int = 3) -> DataFrame:
+    """Rows dealt over all cores where the input has fewer partitions than that: for operators that compute much per byte.
+
+    Large inputs come in enough partitions and pass without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(waves * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def utc(spark: SparkSession) -> None:
     """Pin the session zone: every timestamp of the engine is a UTC instant."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
