@@ -29,6 +29,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from hazardloom.storage import spread
+
 RUN, SPAN, CHARS = 12, 24, 30
 #: Windows of a document; the overlap holds the longest stretch that a verdict may rest on (24 words and 4 additions).
 WINDOW, STRIDE = 64, 32
@@ -38,6 +40,8 @@ MAX_ITEMS = 50_000
 K1, B, BLOCK = 1.2, 0.75, 16
 #: Any case has so many equal words in a row: e edits leave e + 1 runs of at least 9 e words together, e = 3 being the worst.
 SEED = 7
+#: Any near part has in some stretch of so many words of the document so many of its shingles: each edit breaks three of L - 2.
+DENSE = (52, 15)
 #: Words and characters of a term.
 SHINGLE, CHAR_SHINGLE = 3, 4
 
@@ -66,6 +70,7 @@ class Index:
     threshold: list[float] = field(default_factory=list)
     least: float = math.inf
     seeds: dict[int, set] = field(default_factory=dict)
+    sets: dict[int, set] = field(default_factory=dict)
 
     def runs(self, k: int) -> set:
         """The runs of ``SEED`` words of an item, made when it is first asked for."""
@@ -73,6 +78,11 @@ class Index:
             self.seeds[k] = set(shingles(self.words[k], SEED))
         return self.seeds[k]
 
+    def term_set(self, k: int) -> set:
+        if k not in self.sets:
+            self.sets[k] = set(self.terms[k])
+        return self.sets[k]
+
 
 def shingles(units, size: int) -> list:
     return [tuple(units[i : i + size]) for i in range(len(units) - size + 1)] if isinstance(units, list) else [units[i : i + size] for i in range(len(units) - size + 1)]
@@ -236,16 +246,33 @@ def _asked(index: Index, units, size: int, width: int, stride: int) -> Iterator[
 def _in_words(text: str, index: Index) -> set[int]:
     doc = words_of(text)
     found: set[int] = set()
+    seen: dict[int, int] = {}  # item -> end of the stretch that is verified already
     for start, k in _asked(index, doc, SHINGLE, WINDOW, STRIDE):
-        if index.ids[k] not in found:
-            item, seeds = index.words[k], index.runs(k)
-            wide = len(item) + len(item) // 10
-            near = doc[max(0, start - SEED) : start + WINDOW + SEED]
-            if any(t in seeds for t in shingles(near, SEED)) and holds_part(doc[max(0, start - wide) : start + WINDOW + wide], item):
-                found.add(index.ids[k])
+        end = min(len(doc), start + WINDOW)
+        if index.ids[k] in found or seen.get(k, -1) >= end:
+            continue
+        item, seeds, terms = index.words[k], index.runs(k), index.term_set(k)
+        wide = len(item) + len(item) // 10
+        low, high = max(0, start - wide), min(len(doc), end + wide)
+        seen[k] = high if high == len(doc) else end
+        part = doc[low:high]
+        if not any(t in seeds for t in shingles(part, SEED)):
+            continue
+        hits = [t in terms for t in shingles(part, SHINGLE)]
+        sums = [0]
+        for h in hits:
+            sums.append(sums[-1] + h)
+        if any(all(hits[a : a + RUN - SHINGLE + 1]) and _run_of(part[a : a + RUN], item) for a in range(len(part) - RUN + 1)):
+            found.add(index.ids[k])
+        elif any(sums[min(len(hits), a + DENSE[0])] - sums[a] >= DENSE[1] for a in range(len(hits))) and holds_part(part, item):
+            found.add(index.ids[k])
     return found
 
 
+def _run_of(run: list[str], item: list[str]) -> bool:
+    return any(item[k : k + len(run)] == run for k in range(len(item) - len(run) + 1))
+
+
 def _in_chars(text: str, index: Index) -> set[int]:
     doc = chars_of(text)
     found: set[int] = set()
@@ -278,4 +305,4 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     out += [(doc_id, i) for i in sorted(found)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}").distinct()
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}").distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hazardloom.operators.skew import join_hot
-from hazardloom.storage import Workspace
+from hazardloom.storage import Workspace, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before byte-pair merging (fixed value of the vocabulary).
@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame
             out["n_tokens"] = [sum(len(enc.encode_ordinary(t[i : i + PIECE])) for i in range(0, len(t), PIECE)) if isinstance(t, str) else 0 for t in pdf[text]]
             yield out
 
-    return docs.mapInPandas(run, schema)
+    return spread(docs).mapInPandas(run, schema)
 
 
 def _balanced(cells: DataFrame, wanted: dict[str, float], caps: dict[str, int], totals: dict[str, tuple[int, int]], steps: int = 60) -> dict[str, float | None]:
