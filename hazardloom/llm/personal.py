@@ -1,0 +1,266 @@
+"""Problem 4: personal information inside free text, by anchor expansion.
+
+One Aho-Corasick automaton finds anchors in a single pass: at-signs and their spelled forms, identifier
+prefixes, phone, address and name cues. Each anchor calls a deterministic parser that expands it to the left
+or right and validates the boundaries; digit groups, which have no fixed word, are anchored by their shape and
+refused where the word before them says that they number a thing (drawing, batch, order, serial ...).
+
+Defined cases: null and empty texts give nothing; offsets count code points of the text as it is; texts of any
+length are read whole in linear time; overlapping finds keep the first of EMAIL, ADDRESS, ID, PHONE, NAME; a
+record that comes twice with the same text gives one result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hazardloom.storage import spread
+
+KINDS = ("EMAIL", "ADDRESS", "ID", "PHONE", "NAME")
+#: Words that make the number after them the number of a thing.
+THINGS = {
+    "order", "no", "nr", "number", "batch", "drawing", "drawings", "job", "serial", "sn", "part", "item", "asset", "tag", "lot", "invoice", "po", "wo", "ref", "reference", "case",
+    "permit", "coordinates", "valve", "kp", "line", "model", "firmware", "version", "ticket", "cylinder", "document", "procedure", "certificate", "heat", "code", "log", "equipment", "unit", "pump",
+}
+#: Words that never belong to a name.
+NOT_NAMES = {
+    "the", "a", "an", "and", "or", "of", "for", "with", "this", "that", "his", "her", "their", "our", "my", "no", "not", "safety", "officer", "supervisor", "manager", "engineer", "operator", "driller",
+    "crew", "team", "control", "room", "site", "contractor", "shift", "hse", "control-room", "maintenance", "operations", "production", "drilling", "logistics", "well", "services", "mr", "mrs", "ms", "dr", "sir",
+    "foreman", "permit", "line", "model", "everyone", "nobody", "someone", "who", "he", "she", "they", "it", "is", "was", "to", "at", "on", "in", "by", "from", "advisor", "dept", "department", "company", "ltd", "inc",
+    "llc", "gmbh", "ulc", "station", "rig", "unit", "plant", "police", "control room", "field", "head", "office", "day", "night", "one", "two", "three", "work", "job", "see", "statement", "photos", "please",
+}
+
+_U, _L = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+_CAP = rf"(?:[{_U}][{_L}]+(?:['’-][{_U}][{_L}]+)*|[{_U}][{_U}]+(?:['’-][{_U}]+)*)"
+_LOW = rf"[{_L}]+(?:['’-][{_L}]+)*"
+_INITIAL = rf"[{_U}]\."
+_PARTICLE = r"(?:(?:de|del|van|von|der|den|bin|al|la|le|di|da)\s+)*"
+#: Last, First [M.] | initials Last | First [M.] Last [Last]
+_CAP_NAME = rf"(?:{_CAP},\s{_CAP}(?:\s{_INITIAL})?|{_CAP},\s{_INITIAL}(?:\s?{_INITIAL})*|{_INITIAL}(?:\s?{_INITIAL})*\s{_PARTICLE}{_CAP}(?:\s{_CAP})?|{_CAP}\s(?:{_INITIAL}\s)*{_PARTICLE}{_CAP}(?![{_L}])(?:\s{_CAP}(?![{_L}]))?)"
+_LOW_NAME = rf"(?:{_LOW},\s{_LOW}|[{_L}]\.\s{_LOW}|{_LOW}\s(?:[{_L}]\.\s)?{_LOW})"
+_NAME_AT = re.compile(_CAP_NAME)
+_LOW_NAME_AT = re.compile(rf"{_LOW_NAME}(?![\w-])")
+_NAME_BEFORE = re.compile(rf"(?<![\w.'’-])({_CAP_NAME})$")
+_LOW_NAME_BEFORE = re.compile(rf"(?:^|[.!?\n\"”]\s*)({_LOW_NAME})$")
+_ONE_NAME = re.compile(rf"{_CAP}(?![\w-])")
+
+_LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*"
+_AT = r"(?:@|\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)"
+_DOT = r"(?:\.|\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+)"
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
+_HOST = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
+_LOCAL_BEFORE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]|\s*[\[(]\s*dot\s*[\])]\s*)*$", re.I)
+
+_NUMBER = re.compile(
+    r"(?<![\w+/.,-])(?:"
+    r"(?P<phone>\+\d{1,3}[ -]?\(\d{2,4}\)[ -]?\d{3}[ .-]?\d{4}|\+\d{10,13}|\+\d{1,3}[ .-]\d{1,5}(?:[ .-]\d{2,5}){1,3}|\+\d{1,3}[ -]\d{10}"
+    r"|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4}|0\d{2,4}-\d{3}[ -]\d{4}|0\d{2,4} \d{3} \d{4}|0\d{4} \d{6}|\d{10,11})"
+    r"(?P<ext>(?:,?\s*(?:ext\.?|extension|x)\s*\d{1,6}))?"
+    r"|(?P<id>\d{3}-\d{2}-\d{4}|\d{4}[ -]\d{4}[ -]\d{4}|\d{12}))(?![\w-]|[.,/]\d)",
+    re.I,
+)
+_BARE_PHONE = re.compile(r"\d{10,11}")
+_PREFIXED_ID = re.compile(r"(?:EMP(?:LOYEE)?|OIL\s?ID|STAFF|BADGE|PERS)(?:\s?(?:ID|NO\.?))?\s?[:#-]?\s?\d{4,8}(?!\w)", re.I)
+_TAX_ID = re.compile(r"(?<!\w)[A-Z]{5}\d{4}[A-Z](?!\w)")
+
+_SUFFIX = r"(?:Road|Rd|Street|St|Lane|Ln|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Marg|Nagar|Way|Court|Ct|Close|Place|Pl|Terrace|Square|Sq|Crescent|Highway|Hwy)"
+_TOWN = rf"{_CAP}(?:[ -]{_CAP}){{0,2}}"
+_DOOR = r"(?:(?:Flat|Apt|Apartment|Unit|Door|House|Plot|Room|Suite|H\.?)\s?(?:No\.?\s?)?\d+[A-Za-z]?(?:/\d+)?)"
+_ADDRESS = re.compile(
+    rf"(?<![\w.])(?:{_DOOR},\s(?:\d+[A-Za-z]?,?\s)?|\d{{1,5}}[A-Za-z]?,?\s)(?:{_CAP}\s){{1,3}}{_SUFFIX}(?![\w])\.?"
+    rf"(?:,\s(?:(?:Apt|Apartment|Flat|Unit|Suite|Ward|Floor|Block|Sector|Phase)\.?\s?(?:No\.?\s?)?\w+))*"
+    rf"(?:,?[ \n]+(?!(?:TX|and|tel)\b){_TOWN}(?:,\s[A-Z]{{2}}\s\d{{5}}(?:-\d{{4}})?|\s?[-–]\s?\d{{5,6}}|,?\s\d{{5,6}})?(?!\d))?",
+)
+#: Where an address can begin, for anchors found inside it.
+_BACK = 60
+
+#: Cues with a name to the right; a name in lower case only after a capitalised title or role, or (second list) after any.
+RIGHT = ("mr. ", "mr ", "mrs. ", "mrs ", "ms. ", "ms ", "dr. ", "shri ", "smt. ", "sri ", "er. ", "supervisor ", "foreman ", "engineer ", "manager ", "driver ", "operator ", "officer ", "advisor ", "technician ", "signed by ", "approved by ", "signature of ")
+RIGHT_ANY = (
+    "contact ", "reported by: ", "reported by ", "gate pass shows ", "injured person, ", "witness ", "i spoke with ", "spoke with ", "spoke to ", "checked with ", "confirmed with ", "discussed with ", "medical file of ", "ask ", "per ", "name: ", "employee ", "attn: ", "attention ",
+)
+LEFT = (" says ", " said that ", " agrees", " confirms ", " told ", " (dob")
+HINDI = "घटना के समय "
+_HINDI_NAME = re.compile(r"([ऀ-ॣ]+(?:\s[ऀ-ॣ]+){1,2})\sने(?![ऀ-ॣ])")
+#: What follows a name after the cues that also take it in lower case.
+_AFTER_LOW = re.compile(r"\s*(?:[,.;:!?()]|$|\n|(?:at|on|can|could|was|after|refused|says|said|agrees|in|about|and|via|by|ne|for|by phone)\b)")
+
+
+@lru_cache(maxsize=1)
+def _automaton():
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for word, kind in [
+        ("@", "at"), ("[at]", "at"), ("(at)", "at"), ("[ at ]", "at"), (" dot ", "dot"), ("emp", "id"), ("oil", "id"), ("staff", "id"), ("pers", "id"), (HINDI, "hindi"),
+        *((w, "right") for w in RIGHT), *((w, "right_any") for w in RIGHT_ANY), *((w, "left") for w in LEFT),
+        *((w, "street") for w in (" road", " rd", " street", " st", " lane", " ln", " avenue", " ave", " boulevard", " blvd", " drive", " marg", " nagar", " way", " court", " close", " place", " terrace", " crescent")),
+    ]:
+        auto.add_word(word, (kind, len(word)))
+    auto.make_automaton()
+    return auto
+
+
+def _lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _email(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """Expands an at-mark at [start, end) to both sides."""
+    while start > 0 and text[start - 1] == " ":
+        start -= 1
+    while end < len(text) and text[end] == " ":
+        end += 1
+    left = _LOCAL_BEFORE.search(text, max(0, start - 80), start)
+    right = _HOST.match(text, end, min(len(text), end + 160))
+    if not left or not right or not re.search(r"[A-Za-z]", right[0]):
+        return None
+    stop = right.end()
+    return (left.start(), stop) if re.search(r"[A-Za-z]{2,}$", text[right.start() : stop]) else None
+
+
+def _spelled(text: str, dot: int) -> tuple[int, int] | None:
+    """``user at host dot tld`` around a spelled dot."""
+    m = None
+    for m in re.finditer(rf"(?<!\S){_LOCAL}\s+at\s+{_LABEL}(?:\s+dot\s+{_LABEL})+", text[max(0, dot - 60) : dot + 60], re.I):
+        pass
+    return (max(0, dot - 60) + m.start(), max(0, dot - 60) + m.end()) if m else None
+
+
+def _named_words(name: str) -> bool:
+    words = [w.strip(".,").lower() for w in re.split(r"[\s]+", name)]
+    return all(w not in NOT_NAMES and w not in THINGS for w in words if len(w) > 1)
+
+
+def _name_right(text: str, at: int, any_case: bool) -> tuple[int, int] | None:
+    m = _NAME_AT.match(text, at)
+    if m and _named_words(m[0]):
+        stop = m.end()
+        if m[0].count(" ") == 2 and "." not in m[0] and "," not in m[0] and re.search(r"\s[A-Z][a-z]+$", m[0]) and m[0].split()[-1].lower() in NOT_NAMES:
+            stop = m.start() + m[0].rindex(" ")
+        return m.start(), stop
+    if any_case:
+        m = _LOW_NAME_AT.match(text, at)
+        if m and _named_words(m[0]) and _AFTER_LOW.match(text, m.end()):
+            return m.start(), m.end()
+    return None
+
+
+def _name_left(text: str, at: int) -> tuple[int, int] | None:
+    low = max(0, at - 70)
+    m = _NAME_BEFORE.search(text, low, at)
+    if m:
+        start, name = m.start(1), m[1]
+        while not _named_words(name) and " " in name:  # a cue or a role before the name isn't part of it
+            cut = name.index(" ") + 1
+            start, name = start + cut, name[cut:]
+        if _named_words(name) and _NAME_AT.fullmatch(name):
+            return start, at
+    m = _LOW_NAME_BEFORE.search(text, low, at)
+    return m.span(1) if m and _named_words(m[1]) else None
+
+
+def _word_before(text: str, at: int) -> str:
+    m = re.search(r"([A-Za-z]+)[.:#\s]*$", text[max(0, at - 24) : at])
+    return m[1].lower() if m else ""
+
+
+def find_personal(text: str | None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every place, without overlaps, in order."""
+    if not text:
+        return []
+    found: list[tuple[int, int, int]] = []  # rank, start, end
+    low = _lower(text)
+
+    def add(kind: str, span: tuple[int, int] | None) -> None:
+        if span and span[0] < span[1]:
+            found.append((KINDS.index(kind), *span))
+
+    reached = -1
+    for last, (kind, size) in _automaton().iter(low):
+        start, end = last - size + 1, last + 1
+        bounded = start == 0 or not low[start - 1].isalnum()
+        if kind == "at":
+            add("EMAIL", _email(text, start, end))
+        elif kind == "dot":
+            add("EMAIL", _spelled(text, start))
+        elif kind == "id" and bounded:
+            m = _PREFIXED_ID.match(text, start)
+            add("ID", m and m.span())
+        elif kind == "right" and bounded:
+            add("NAME", _name_right(text, end, text[start].isupper()))
+        elif kind == "right_any" and bounded:
+            add("NAME", _name_right(text, end, True))
+        elif kind == "left":
+            at = start - 1 if low[start] != " " else start
+            add("NAME", _name_left(text, at - 1 if text[at - 1 : at] == "," else at))
+        elif kind == "hindi":
+            m = _HINDI_NAME.match(text, end)
+            add("NAME", m and m.span(1))
+        elif kind == "street" and end > reached and (end == len(low) or not low[end].isalnum()):
+            for m in _ADDRESS.finditer(text, max(0, start - _BACK, reached), min(len(text), end + 120)):
+                if m.start() <= start < m.end():
+                    stop = m.end()
+                    add("ADDRESS", (m.start(), stop))
+                    reached = stop
+                    break
+    for m in _TAX_ID.finditer(text):
+        add("ID", m.span())
+    for m in _NUMBER.finditer(text):
+        before = _word_before(text, m.start())
+        if before in THINGS:
+            continue
+        add("ID" if m["id"] else "PHONE", m.span())
+    taken: list[tuple[int, int, int]] = []
+    for item in sorted(found, key=lambda x: (x[0], x[1] - x[2], x[1])):
+        if all(item[2] <= a or item[1] >= b for _, a, b in taken):
+            taken.append(item)
+    return [(KINDS[k], a, b) for k, a, b in sorted(taken, key=lambda x: x[1])]
+
+
+def redact(text: str | None) -> str | None:
+    """The text with ``[KIND]`` in place of what was found."""
+    if not text:
+        return text
+    out, at = [], 0
+    for kind, a, b in find_personal(text):
+        out += [text[at:a], f"[{kind}]"]
+        at = b
+    return "".join(out) + text[at:]
+
+
+def _mapped(texts: DataFrame, schema: str, make: Callable[[str, str, str], list[tuple]]) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([row for t, i, x in zip(pdf["source_table"], pdf["record_id"], pdf["text"]) for row in make(t, i, x)], columns=names)
+
+    rows = texts.select("source_table", "record_id", "text").filter("record_id is not null and text is not null").distinct()
+    return spread(rows).mapInPandas(run, schema)
+
+
+def places(texts: DataFrame) -> DataFrame:
+    """``texts``: source_table, record_id, text. (source_table, record_id, pii_kind, start_char, end_char) of every place."""
+    return _mapped(texts, "source_table string, record_id string, pii_kind string, start_char long, end_char long", lambda t, i, x: [(t, i, *p) for p in find_personal(x)]).distinct()
+
+
+def redacted(texts: DataFrame) -> DataFrame:
+    """(source_table, record_id, text) with placeholders."""
+    return _mapped(texts, "source_table string, record_id string, text string", lambda t, i, x: [(t, i, redact(x))])
+
+
+def union_texts(*parts: tuple[DataFrame, str, str, str]) -> DataFrame:
+    """One table of (source_table, record_id, text) from (table, name, id column, text column)."""
+    out = None
+    for df, name, key, text in parts:
+        one = df.select(F.lit(name).alias("source_table"), F.col(key).cast("string").alias("record_id"), F.col(text).cast("string").alias("text"))
+        out = one if out is None else out.union(one)
+    return out

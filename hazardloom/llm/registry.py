@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm import components, consensus, leaks, mixing, splits
+from hazardloom.llm import components, consensus, leaks, mixing, personal, splits
 from hazardloom.storage import Workspace, table, utc
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    utc(spark)
+    return personal.union_texts((table(spark, d, "reports"), "reports", "id", "raw_text"), (table(spark, d, "analyst_decisions"), "analyst_decisions", "id", "analyst_comment"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every place of personal information in reports and comments."""
+    return personal.places(_texts(spark, d))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    return personal.redacted(_texts(spark, d))
+
+
 def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     utc(spark)
     labels = consensus.latest_labels(table(spark, d, "analyst_decisions"), "report_id", "analyst_id", "analyst_label", "reviewed_at", "id")
@@ -93,6 +108,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_agreement": p5_agreement,
     "p5_analysts": p5_analysts,
