@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm import components, consensus, leaks, mixing, personal, splits
+from hazardloom.llm import components, consensus, leaks, mixing, personal, sentences, splits
 from hazardloom.storage import Workspace, table, utc
 
 
@@ -107,6 +107,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence and heading of every document."""
+    utc(spark)
+    return sentences.sentences(table(spark, d, "documents"), Workspace(spark, "p10"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
@@ -121,6 +127,7 @@ QUERIES = {
     "p8_items": p8_items,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
 }
 
 SQL: dict[str, str] = {}
