@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hazardloom.plans import data_problems
+from hazardloom.plans import dashboard, data_problems
 
-MODULES = (data_problems,)
+MODULES = (data_problems, dashboard)
 
 
 def queries() -> dict:
