@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hazardloom.plans import dashboard, data_problems
+from hazardloom.plans import dashboard, data_problems, monitoring, texts
 
-MODULES = (data_problems, dashboard)
+MODULES = (data_problems, dashboard, monitoring, texts)
 
 
 def queries() -> dict:
