@@ -10,7 +10,6 @@ from hazardloom.plans.views import Registry, classifications, ctes, decisions, r
 from hazardloom.storage import table
 
 REG = Registry()
-SIF = F.col("sif_label") == True  # noqa: E712
 BANDS = (0.55, 0.35)
 SCOPE = ("site-001", "site-002", "site-003", "site-011", "site-017")
 IN_SCOPE = "('site-001', 'site-002', 'site-003', 'site-011', 'site-017')"
@@ -41,7 +40,7 @@ def filtered(spark, d, df: DataFrame, start=None, end=None, site=None, departmen
 
 def _density(df: DataFrame, key: str) -> DataFrame:
     n = F.countDistinct("id")
-    s = F.count_if(SIF)
+    s = F.count_if("sif_label")
     return df.groupBy(key).agg(s.alias("sif_count"), n.alias("report_count"), share(s, n, 3).alias("sif_rate"))
 
 
@@ -70,7 +69,7 @@ def _(spark, d):
 for _unit in ("day", "week", "month"):
 
     def _trend(spark, d, unit=_unit):
-        n, s = F.count("*"), F.count_if(SIF)
+        n, s = F.count("*"), F.count_if("sif_label")
         period = F.date_format(F.date_trunc(unit, "reported_at"), "yyyy-MM-dd")
         return _classified(spark, d).filter("reported_at is not null").groupBy(period.alias("period")).agg(s.alias("sif_count"), n.alias("report_count"), share(s, n, 3).alias("sif_rate"))
 
@@ -92,12 +91,12 @@ def _(spark, d):
 def _(spark, d):
     """Headline figures in one pass, and the two leaders by ordered aggregates without a sort."""
     j = reports(spark, d).join(classifications(spark, d).withColumnRenamed("report_id", "id"), "id", "left")
-    n, s = F.count("*"), F.count_if(SIF)
+    n, s = F.count("*"), F.count_if("sif_label")
     head = j.agg(n.alias("total_reports"), s.alias("sif_reports"), share(s, n, 3).alias("sif_rate"), F.round(F.avg("sif_probability"), 3).alias("avg_probability"), F.count_if(F.col("lifecycle_status").isin("HSE_REVIEW", "AI_ANALYZED")).alias("queue_size"))
     sites = table(spark, d, "sites").select(F.col("id").alias("site_id"), "name")
     top = j.filter("sif_label is not null").join(sites, "site_id").groupBy("name").agg(share(s, n, 3).alias("rate")).agg(F.min_by("name", F.struct(-F.col("rate"), "name")).alias("top_risk_site"))
     pattern = F.concat_ws(" | ", "activity", "location_asset").alias("p")
-    pat = triples(spark, d).join(classifications(spark, d), "report_id").groupBy(pattern).agg(F.countDistinct(F.when(SIF, F.col("report_id"))).alias("k"), F.countDistinct("report_id").alias("n")).agg(F.min_by("p", F.struct(-F.col("k"), -F.col("n"), "p")).alias("top_pattern"))
+    pat = triples(spark, d).join(classifications(spark, d), "report_id").groupBy(pattern).agg(F.countDistinct(F.when(F.col("sif_label"), F.col("report_id"))).alias("k"), F.countDistinct("report_id").alias("n")).agg(F.min_by("p", F.struct(-F.col("k"), -F.col("n"), "p")).alias("top_pattern"))
     return head.crossJoin(top).crossJoin(pat)  # three single rows
 
 
@@ -131,7 +130,7 @@ def _(spark, d):
 @REG.add("a16_pattern_metrics", ctes("r", "c", "t") + "SELECT activity, location_asset, count(DISTINCT report_id) AS report_count, count(DISTINCT CASE WHEN sif_label THEN report_id END) AS sif_count, count(DISTINCT site_id) AS site_count, round(max(sif_probability), 4) AS max_probability, round(count(DISTINCT CASE WHEN sif_label THEN report_id END) / count(DISTINCT report_id), 4) AS sif_rate FROM t LEFT JOIN c USING (report_id) GROUP BY 1, 2 HAVING count(DISTINCT report_id) >= 2")
 def _(spark, d):
     """Patterns with at least two reports: the exact-triple clusters and their report metrics, in one grouped join."""
-    n, s = F.countDistinct("report_id"), F.countDistinct(F.when(SIF, F.col("report_id")))
+    n, s = F.countDistinct("report_id"), F.countDistinct(F.when(F.col("sif_label"), F.col("report_id")))
     return triples(spark, d).join(classifications(spark, d), "report_id", "left").groupBy("activity", "location_asset").agg(n.alias("report_count"), s.alias("sif_count"), F.countDistinct("site_id").alias("site_count"), F.round(F.max("sif_probability"), 4).alias("max_probability"), F.round(s / n, 4).alias("sif_rate")).filter("report_count >= 2")
 
 
