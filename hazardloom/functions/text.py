@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -76,7 +77,12 @@ def correct_spelling(c: Column) -> Column:
 
 
 def hits(c: Column, words: str) -> Column:
-    return F.lower(c).rlike(bounded(words))
+    """Whether a bounded word occurs. The pattern only runs where the plain word is contained, which a scan finds fast."""
+    low, found = F.lower(c), None
+    for w in words.split("|"):
+        one = low.rlike(bounded(w)) if re.search(r"[^a-z0-9 \-]", w) else low.contains(w) & low.rlike(bounded(w))
+        found = one if found is None else found | one
+    return found
 
 
 def energy_types(c: Column) -> Column:
