@@ -25,7 +25,7 @@ MAX_ROUNDS = 60
 
 def clean_id(c: str | Column) -> Column:
     """Lower case without surrounding white space, null where missing."""
-    v = F.lower(F.regexp_replace(F.col(c).cast("string") if isinstance(c, str) else c, r"^[\s ]+|[\s ]+$", ""))
+    v = F.lower(F.regexp_replace(F.col(c).cast("string") if isinstance(c, str) else c, r"^[\s\u00A0\u3000]+|[\s\u00A0\u3000]+$", ""))
     return F.when(v.isin(*MISSING), None).otherwise(v)
 
 

@@ -130,13 +130,20 @@ QUERIES = {
     "p10_found": p10_found,
 }
 
+_WHITE = r"^[\s\x{A0}\x{3000}]+|[\s\x{A0}\x{3000}]+$"
+
+
+def _clean(c: str) -> str:
+    return f"lower(regexp_replace({c}, '{_WHITE}', '', 'g'))"
+
+
 _MISSING = "('', 'null', 'none', 'nan', 'unknown', 'n/a')"
 #: Reachability carries ever smaller ids over the links; the smallest that arrives is the root.
 _REACH = "w(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id WHERE w.root < e.b)"
 
 SQL: dict[str, str] = {
-    "p6_found": f"""WITH RECURSIVE k AS (SELECT id, 'g' || lower(trim(group_id)) AS key FROM incident_records WHERE lower(trim(group_id)) NOT IN {_MISSING} UNION SELECT id, 'h' || lower(trim(text_hash)) FROM incident_records WHERE lower(trim(text_hash)) NOT IN {_MISSING}),
+    "p6_found": f"""WITH RECURSIVE k AS (SELECT id, 'g' || {_clean("group_id")} AS key FROM incident_records WHERE {_clean("group_id")} NOT IN {_MISSING} UNION SELECT id, 'h' || {_clean("text_hash")} FROM incident_records WHERE {_clean("text_hash")} NOT IN {_MISSING}),
       s AS (SELECT id, min(id) OVER (PARTITION BY key) AS hub FROM k), e AS (SELECT id AS a, hub AS b FROM s WHERE id <> hub UNION SELECT hub, id FROM s WHERE id <> hub), {_REACH} SELECT id AS record_id, min(root) AS bundle_root FROM w GROUP BY 1""",
-    "p7_found": f"""WITH RECURSIVE p AS (SELECT lower(trim(report_id_a)) AS a, lower(trim(report_id_b)) AS b FROM duplicate_pairs WHERE lower(trim(report_id_a)) NOT IN {_MISSING} AND lower(trim(report_id_b)) NOT IN {_MISSING}),
+    "p7_found": f"""WITH RECURSIVE p AS (SELECT {_clean("report_id_a")} AS a, {_clean("report_id_b")} AS b FROM duplicate_pairs WHERE {_clean("report_id_a")} NOT IN {_MISSING} AND {_clean("report_id_b")} NOT IN {_MISSING}),
       e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b), {_REACH} SELECT id AS report_id, min(root) AS group_root FROM w GROUP BY 1""",
 }
