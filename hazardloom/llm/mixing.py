@@ -11,7 +11,7 @@ The mix is as large as the shares allow: total = min over sources of max_repeats
 
 Defined cases: sources are compared lower-case and trimmed, a null source is ''; a source without a target
 has share 0; documents without tokens get no copies; targets without documents report a share of 0; repeated
-target rows count once; empty documents give an empty mix.
+target rows count once, a null share or cap is 0; empty documents give an empty mix.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, targets: DataFrame, space: Workspace, total: float | No
     """((doc_id, source, n_tokens, rate, copies), (source, target_share, actual_share, ...)). ``docs``: doc_id, source, text."""
     norm = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     sized = space.cut(token_counts(docs.select("doc_id", norm("source").alias("source"), "text"), "text", path), "sized")
-    want = {r["source"]: (float(r["share"]), int(r["cap"])) for r in targets.groupBy(norm("source").alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()}  # a row per target
+    want = {r["source"]: (float(r["share"] or 0.0), int(r["cap"] or 0)) for r in targets.groupBy(norm("source").alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()}  # a row per target
     want = {s: (a, max(0, c)) for s, (a, c) in want.items() if a > 0}
     cells = space.cut(sized.filter("n_tokens > 0").groupBy("source", "n_tokens").agg(F.count("*").alias("n_docs")), "cells")
     spark = docs.sparkSession
