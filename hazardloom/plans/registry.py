@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hazardloom.plans import dashboard, data_problems, ingestion, monitoring, streams, texts
+from hazardloom.plans import dashboard, data_problems, governance, ingestion, monitoring, streams, texts
 
-MODULES = (data_problems, dashboard, monitoring, texts, ingestion, streams)
+MODULES = (data_problems, dashboard, monitoring, texts, governance, ingestion, streams)
 
 
 def queries() -> dict:
