@@ -11,14 +11,17 @@ HOT_ROWS = 200_000
 SALT_ROWS = 100_000
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, rows_col: str, how: str = "inner", parts: int = SALT_ROWS) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str, rows_col: str, how: str = "inner", parts: int = SALT_ROWS, stored: bool = False) -> DataFrame:
     """Join ``big`` with ``small`` (unique on ``key``, holding in ``rows_col`` the rows ``big`` has of it).
 
     The row of a hot key is repeated once per salt and the rows of ``big`` are spread over the salts. ``big``
     can't know the number of salts of its key before the join, so it is told by a join with the hot keys
     alone: at most rows / HOT_ROWS keys, a set that shrinks against the data and is joined without a
     broadcast hint (Spark broadcasts it where its measured size allows). Keys that aren't hot keep salt 0.
+    ``stored``: ``small`` is a written table, so a look at it tells cheaply that no key is hot, and one join will do.
     """
+    if stored and small.filter(F.col(rows_col) > HOT_ROWS).isEmpty():
+        return big.join(small.drop(rows_col), key, how)
     salts = F.when(F.col(rows_col) > HOT_ROWS, F.ceil(F.col(rows_col) / F.lit(parts)).cast("int")).otherwise(F.lit(1))
     sized = small.withColumn("__salts", salts)
     hot = sized.filter(F.col("__salts") > 1).select(F.col(key).alias("__hot"), F.col("__salts").alias("__of"))

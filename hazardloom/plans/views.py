@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from hazardloom.storage import table, utc
 
@@ -42,14 +43,14 @@ def ctes(*names: str) -> str:
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "reports")
-    cols = [c for c in df.columns if c != "id"]
-    last = df.groupBy("id").agg(F.max_by(F.struct(*cols), "ingested_at").alias("row"))
-    return last.select("id", *(F.col(f"row.{c}").alias(c) for c in cols))
+    """Latest delivery per id. A ranked window, not an aggregate of whole rows: unread columns (the text above all) stay out of the shuffle."""
+    newest = F.row_number().over(W.partitionBy("id").orderBy(F.desc("ingested_at")))
+    return table(spark, d, "reports").withColumn("__k", newest).filter("__k = 1").drop("__k")
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "analyst_decisions").distinct()
+    """Each decision once: repeats are exact, so the id is enough and unread columns are pruned."""
+    return table(spark, d, "analyst_decisions").dropDuplicates(["id"])
 
 
 def classifications(spark: SparkSession, d: str) -> DataFrame:

@@ -63,3 +63,15 @@ def test_set_join_by_brute_force(spark):
     want = {(a, b) for a, x in sets for b, y in sets if a < b and len(set(x) & set(y)) >= 0.7 * len(set(x) | set(y)) - 1e-12}
     got = {(r["a"], r["b"]) for r in jaccard_pairs(spark.createDataFrame(rows, "id long, tokens array<string>"), 0.7, Workspace(spark, "t")).collect()}
     assert got == want
+
+
+def test_join_hot_splits_and_keeps_rows(spark, monkeypatch):
+    from hazardloom.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    big = spark.createDataFrame([("a", i) for i in range(95)] + [("b", 200), ("c", 300)], "k string, v int")
+    small = spark.createDataFrame([("a", "A", 95), ("b", "B", 1)], "k string, x string, n long")
+    for stored in (False, True):
+        got = sorted((r["k"], r["v"], r["x"]) for r in skew.join_hot(big, small, "k", "n", parts=20, stored=stored).collect())
+        assert got == [("a", i, "A") for i in range(95)] + [("b", 200, "B")]
+        assert skew.join_hot(big, small, "k", "n", "left", parts=20, stored=stored).count() == 97
