@@ -45,11 +45,11 @@ def connected_groups(links: DataFrame, space: Workspace, max_rounds: int = MAX_R
             break
         # the smallest name in the closed neighbourhood of each vertex, told to the whole neighbourhood
         least = space.cut(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
-        told = join_hot(edges, least, "u", "n").select(F.col("v").alias("a"), F.col("m").alias("t")).union(least.select(F.col("u").alias("a"), F.col("m").alias("t")))
+        told = join_hot(edges, least, "u", "n", stored=True).select(F.col("v").alias("a"), F.col("m").alias("t")).union(least.select(F.col("u").alias("a"), F.col("m").alias("t")))
         told = space.cut(told.distinct(), "told")
         heads = space.cut(told.groupBy("a").agg(F.min("t").alias("h"), F.count("*").alias("n"), F.max((F.col("a") == F.col("t")).cast("int")).alias("named")), "heads")
         forest.append(space.cut(heads.filter("named = 0").select(F.col("a").alias("child"), F.col("h").alias("parent")), "forest"))
-        linked = join_hot(told, heads.select("a", "h", "n"), "a", "n").filter("t != h").select(F.least("t", "h").alias("p"), F.greatest("t", "h").alias("q")).distinct()
+        linked = join_hot(told, heads.select("a", "h", "n"), "a", "n", stored=True).filter("t != h").select(F.least("t", "h").alias("p"), F.greatest("t", "h").alias("q")).distinct()
         nxt = space.cut(linked.select(F.col("p").alias("u"), F.col("q").alias("v")).union(linked.select(F.col("q").alias("u"), F.col("p").alias("v"))), "edges")
         space.drop(least, told, heads, edges if edges is not first else None)
         edges = nxt

@@ -236,25 +236,25 @@ def redact(text: str | None) -> str | None:
     return "".join(out) + text[at:]
 
 
-def _mapped(texts: DataFrame, schema: str, make: Callable[[str, str, str], list[tuple]]) -> DataFrame:
+def _mapped(texts: DataFrame, schema: str, make: Callable[[str, str, str], list[tuple]], once: bool = False) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame([row for t, i, x in zip(pdf["source_table"], pdf["record_id"], pdf["text"]) for row in make(t, i, x)], columns=names)
 
-    rows = texts.select("source_table", "record_id", "text").filter("record_id is not null and text is not null").distinct()
-    return spread(rows).mapInPandas(run, schema)
+    rows = texts.select("source_table", "record_id", "text").filter("record_id is not null and text is not null")
+    return spread(rows.distinct() if once else rows).mapInPandas(run, schema)
 
 
 def places(texts: DataFrame) -> DataFrame:
-    """``texts``: source_table, record_id, text. (source_table, record_id, pii_kind, start_char, end_char) of every place."""
+    """Repeated rows are told apart by their results, so no text is shuffled. ``texts``: source_table, record_id, text. (source_table, record_id, pii_kind, start_char, end_char) of every place."""
     return _mapped(texts, "source_table string, record_id string, pii_kind string, start_char long, end_char long", lambda t, i, x: [(t, i, *p) for p in find_personal(x)]).distinct()
 
 
 def redacted(texts: DataFrame) -> DataFrame:
     """(source_table, record_id, text) with placeholders."""
-    return _mapped(texts, "source_table string, record_id string, text string", lambda t, i, x: [(t, i, redact(x))])
+    return _mapped(texts, "source_table string, record_id string, text string", lambda t, i, x: [(t, i, redact(x))], once=True)
 
 
 def union_texts(*parts: tuple[DataFrame, str, str, str]) -> DataFrame:
