@@ -75,3 +75,24 @@ def test_join_hot_splits_and_keeps_rows(spark, monkeypatch):
         got = sorted((r["k"], r["v"], r["x"]) for r in skew.join_hot(big, small, "k", "n", parts=20, stored=stored).collect())
         assert got == [("a", i, "A") for i in range(95)] + [("b", 200, "B")]
         assert skew.join_hot(big, small, "k", "n", "left", parts=20, stored=stored).count() == 97
+
+
+def test_batch_ingestion(spark, tmp_path):
+    import pytest
+
+    from hazardloom.sources import batch
+
+    (tmp_path / "p.csv").write_text("REPORT_NUMBER;LOCAL_DATETIME;NARRATIVE;NUM_FATALITIES;IGNITE_IND\n1;2024-02-03 10:00:00;a long narrative;1;YES\n;2024-02-03;no number here;0;NO\n2;13/45/2024;short;n/a;no\n")
+    (tmp_path / "o.json").write_text(json.dumps({"reports": [{"Incident No": "7", "Installation / Unit": "CDU 2", "SIF Potential": "No", "Fatalities": 0}]}))
+    good, bad = batch.ingest(spark, "phmsa", str(tmp_path / "p.csv"))
+    rows = {r["report_id"]: r for r in good.collect()}
+    assert set(rows) == {"PHMSA-1", "PHMSA-2"} and bad.count() == 1
+    assert rows["PHMSA-1"]["incident_date"] == "2024-02-03" and rows["PHMSA-1"]["sif_potential"] is True and rows["PHMSA-1"]["consequence"] == "Fire, Loss of Containment"
+    assert rows["PHMSA-2"]["incident_date"] is None and rows["PHMSA-2"]["sif_potential"] is None and rows["PHMSA-2"]["description"].startswith("PHMSA reported")
+    report = batch.run(spark, {"phmsa": str(tmp_path / "p.csv"), "oisd": str(tmp_path / "o.json")}, str(tmp_path / "out"))
+    assert {r["source"]: r["n"] for r in report.collect()} == {"PHMSA": 2, "OISD": 1}
+    with pytest.raises(ValueError):
+        batch.ingest(spark, "other", "x.csv")
+    with pytest.raises(ValueError):
+        batch.check_upload(spark, str(tmp_path / "p.csv"), max_bytes=10)
+    batch.check_upload(spark, str(tmp_path / "p.csv"))
