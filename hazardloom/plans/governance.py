@@ -178,4 +178,28 @@ def _(spark, d):
     return model.transform(held.withColumn("w", F.lit(1.0))).select("id", "label", F.round(vector_to_array("probability")[1], 6).alias("probability"))
 
 
+@REG.add("t17_calibration")
+def _(spark, d):
+    """Calibration of the model's probabilities: isotonic from 1,000 fitted rows on, else sigmoid; Brier scores of the held-out
+    fifth before and after. Folds go by the hash of the report id. One class or fewer than four rows: no method."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
+    e = evaluation(spark, d).select("id", F.col("y").cast("double").alias("label"), "p").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(5)))
+    fit, held = e.filter("fold < 4"), e.filter("fold = 4")
+    n, low, high = fit.agg(F.count("*"), F.min("label"), F.max("label")).first()
+    brier = lambda c: F.round(F.avg((F.col(c) - F.col("label")) * (F.col(c) - F.col("label"))), 6)
+    method = "none" if n < 4 or low == high else "isotonic" if n >= 1000 else "sigmoid"
+    if method == "none":
+        done = held.withColumn("q", F.col("p"))
+    elif method == "isotonic":
+        done = IsotonicRegression(featuresCol="p", labelCol="label").fit(fit).transform(held).withColumnRenamed("prediction", "q")
+    else:
+        packed = VectorAssembler(inputCols=["p"], outputCol="features")
+        done = LogisticRegression(maxIter=50).fit(packed.transform(fit)).transform(packed.transform(held)).withColumn("q", vector_to_array("probability")[1])
+    return done.agg(F.lit(method).alias("method"), F.lit(n).alias("n_fitted"), F.count("*").alias("n_held_out"), brier("p").alias("brier_before"), brier("q").alias("brier_after"))
+
+
 QUERIES, SQL = REG.queries, REG.sql
