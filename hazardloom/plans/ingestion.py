@@ -12,6 +12,7 @@ from hazardloom.functions import text as X
 from hazardloom.operators import raw_rows
 from hazardloom.operators.components import components
 from hazardloom.operators.set_join import jaccard_pairs
+from hazardloom.operators.skew import join_hot
 from hazardloom.plans.views import Registry, ctes, reports
 from hazardloom.sources import adapters, readers
 from hazardloom.storage import Workspace, checkpoint_root, table
@@ -183,20 +184,93 @@ def _(spark, d):
     return components(near.union(exact), space).select("id", F.col("root").alias("group_root"))
 
 
+def _tied_records(spark, d) -> DataFrame:
+    """(id, norm_text, text, positive, group_id, text_hash) per distinct row: keys lower-case and null where missing, ``text`` null where empty."""
+    key = lambda c: F.lower(X.optional(F.regexp_replace(c, r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$", "")))
+    norm = F.coalesce("norm_text", F.lit(""))
+    text = F.when(norm != "", norm).otherwise(X.normalise(F.coalesce("raw_text", F.lit(""))))
+    positive = F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("positive")
+    return table(spark, d, "incident_records").select("id", "norm_text", F.when(text != "", text).alias("text"), positive, key("group_id").alias("group_id"), key("text_hash").alias("text_hash")).distinct()
+
+
+def _near_links(x: DataFrame, space: Workspace) -> DataFrame:
+    """(u, v) of near pairs, each text by its smallest record."""
+    sets = space.cut(x.filter("text is not null").groupBy("text").agg(F.min("id").alias("id")).select("id", "text").withColumn("tokens", X.tokens(F.col("text"))).select("id", "tokens"), "sets")
+    return space.cut(jaccard_pairs(sets, 0.85, space, least_tokens=6).select(F.col("a").alias("u"), F.col("b").alias("v")), "near")
+
+
+def _star_links(x: DataFrame, key: str, space: Workspace) -> DataFrame:
+    """(u, v) of records with one key: a star on the smallest record, never all pairs."""
+    tied = space.cut(x.filter(F.col(key).isNotNull()).select("id", F.col(key).alias("key")).distinct(), key)
+    least = tied.groupBy("key").agg(F.min("id").alias("u"), F.count("*").alias("n")).filter("n > 1")
+    return join_hot(tied, least, "key", "n").filter("id != u").select("u", F.col("id").alias("v"))
+
+
+#: Groups of a stratum are ranked inside this many hash ranges.
+_RANGES = 4096
+_SHARE = 0.15
+_LEAST_RECORDS, _LEAST_CLASS = 20, 4
+
+
+def _dealt(groups: DataFrame) -> DataFrame:
+    """``groups``: (root, positive). 70/15/15 of each stratum in the order of a seeded hash: validation and test take
+    floor(.15 n), at least one group each, as far as train keeps one. Ranks run inside hash ranges, after the counts of those before."""
+    g = groups.withColumn("h", F.xxhash64("root", F.lit(42))).withColumn("range", F.pmod("h", F.lit(_RANGES)))
+    sizes = g.groupBy("positive", "range").agg(F.count("*").alias("k"))
+    by = W.partitionBy("positive")
+    sizes = sizes.select("positive", "range", (F.sum("k").over(by.orderBy("range")) - F.col("k")).alias("before"), F.sum("k").over(by).alias("n"))  # at most 2 x 4096 rows
+    rank = F.col("before") + F.row_number().over(W.partitionBy("positive", "range").orderBy("h", "root"))
+    part = F.greatest(F.lit(1), F.floor(F.col("n") * _SHARE))
+    train = F.greatest(F.lit(1), F.col("n") - 2 * part)
+    split = F.when(F.col("rank") <= F.col("train"), "train").when(F.col("rank") <= F.col("train") + F.col("part"), "validation").otherwise("test")
+    return g.join(sizes, ["positive", "range"]).select("root", "positive", rank.alias("rank"), train.alias("train"), part.alias("part")).select("root", "positive", split.alias("split"))
+
+
+def _split(x: DataFrame, near: DataFrame, space: Workspace) -> DataFrame:
+    """(id, group_root, positive, split, status) of every record of ``x``."""
+    links = space.cut(reduce(DataFrame.union, (_star_links(x, k, space) for k in ("text", "group_id", "text_hash")), near).distinct(), "links")
+    roots = components(links, space).select("id", "root")
+    own = x.groupBy("id").agg(F.max("positive").alias("y"))
+    own = space.cut(own.join(roots, "id", "left").select("id", "y", F.coalesce("root", "id").alias("root")), "own")
+    n, yes = own.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    enough = n >= _LEAST_RECORDS and min(yes, n - yes) >= _LEAST_CLASS
+    groups = own.groupBy("root").agg(F.max("y").alias("positive"), F.count("*").alias("rows"))
+    dealt = _dealt(groups) if enough else groups.select("root", "positive", F.lit("train").alias("split"))
+    status = "VALIDATED" if enough else "INSUFFICIENT_VALIDATION_DATA"
+    done = join_hot(own.select("id", "root"), dealt.join(groups.select("root", "rows"), "root"), "root", "rows")
+    return done.select("id", F.col("root").alias("group_root"), "positive", "split", F.lit(status).alias("status"))
+
+
+def _leaks(x: DataFrame, near: DataFrame, split: DataFrame) -> DataFrame:
+    """(norm_text) of records whose group id, text hash, text or near pair stands in two splits of ``split`` (id, split)."""
+    s = x.join(split.select("id", "split"), "id").select("id", "norm_text", "text", "group_id", "text_hash", "split")
+
+    def parted(key: str) -> DataFrame:
+        bad = s.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("split").alias("lo"), F.max("split").alias("hi")).filter("lo != hi").select(key)
+        return s.join(bad, key, "left_semi").select("norm_text")
+
+    of = split.select("id", "split")
+    ends = near.join(of.toDF("u", "su"), "u").join(of.toDF("v", "sv"), "v").filter("su != sv")
+    ends = s.join(ends.select(F.explode(F.array("u", "v")).alias("id")), "id", "left_semi").select("norm_text")
+    return reduce(DataFrame.union, (parted(k) for k in ("id", "text", "group_id", "text_hash")), ends).distinct()
+
+
 @REG.add("t15_leak_free_split")
 def _(spark, d):
-    """70/15/15 over copies: texts stay together, a text with any positive record is positive, dealt by hash within the stratum."""
-    x = table(spark, d, "incident_records").filter("norm_text != ''").groupBy("norm_text").agg(F.max(F.col("label").cast("int")).alias("positive"), F.min("id").alias("root"))
-    u = F.pmod(F.xxhash64("root", F.lit(42)), F.lit(10_000)) / 10_000
-    split = x.select("norm_text", "positive", F.when(u < 0.7, "train").when(u < 0.85, "validation").otherwise("test").alias("split"))
-    return table(spark, d, "incident_records").select("id", "norm_text").distinct().join(split, "norm_text").select("id", "positive", "split")
+    """70/15/15 over connected components of group id, text hash, copies and near pairs, stratified by whether any record of the
+    component is positive. Every record gets a split; too few records or records of a class: all train, and the status says so."""
+    space = Workspace(spark, "t15")
+    x = space.cut(_tied_records(spark, d), "records")
+    return _split(x, _near_links(x, space), space)
 
 
 @REG.add("u05_split_leaks", "SELECT CAST(NULL AS VARCHAR) AS norm_text WHERE false")
 def _(spark, d):
-    """Texts that stand in two splits: none."""
-    rows = REG.queries["t15_leak_free_split"](spark, d).join(table(spark, d, "incident_records").select("id", "norm_text").distinct(), "id")
-    return rows.groupBy("norm_text").agg(F.countDistinct("split").alias("k")).filter("k > 1").select("norm_text")
+    """Texts of records whose group id, text hash, text or near pair stands in two splits: none."""
+    space = Workspace(spark, "u05")
+    x = space.cut(_tied_records(spark, d), "records")
+    near = _near_links(x, space)
+    return _leaks(x, near, space.cut(_split(x, near, space), "split"))
 
 
 @REG.add("m05_centroid_similarity", "WITH v AS (SELECT row_number() OVER () AS rid, e.* FROM embeddings e), x AS (SELECT v.*, unnest(embedding) AS val, generate_subscripts(embedding, 1) AS pos FROM v), c AS (SELECT label, pos, avg(val) AS m FROM x GROUP BY 1, 2), s AS (SELECT x.vec_id, x.label, sum(x.val * c.m) / (sqrt(sum(x.val * x.val)) * sqrt(sum(c.m * c.m))) AS cosine FROM x JOIN c USING (label, pos) GROUP BY x.rid, x.vec_id, x.label) SELECT label, count(*) AS n, round(avg(cosine), 4) AS mean_cosine FROM s GROUP BY 1")

@@ -96,3 +96,47 @@ def test_batch_ingestion(spark, tmp_path):
     with pytest.raises(ValueError):
         batch.check_upload(spark, str(tmp_path / "p.csv"), max_bytes=10)
     batch.check_upload(spark, str(tmp_path / "p.csv"))
+
+
+def _split_table(spark, path, rows):
+    spark.createDataFrame(rows, "id string, group_id string, raw_text string, norm_text string, text_hash string, label boolean").write.parquet(f"{path}/incident_records.parquet")
+    return str(path)
+
+
+def test_leak_free_split_keeps_ties_together(spark, tmp_path):
+    from hazardloom.plans import ingestion
+
+    words = lambda k, n=8: [f"w{k}x{i}" for i in range(n)]
+    rows = []
+    for k in range(40):
+        base, y = " ".join(words(k, 14)), k % 2 == 0
+        rows += [(f"a{k:02}", f"Grp-{k}", base, base, f"AB{k:02}", y), (f"b{k:02}", f" grp-{k} ", f"other {k}", f"other {k}", None, y)]
+        rows += [(f"c{k:02}", "N/A", f"third {k}", f"third {k}", f" ab{k:02}", False), (f"d{k:02}", None, base + " more", base + " more", None, False)]
+    rows += [("e1", None, "", "", "", True), ("e2", "", "", "", None, False)]
+    d = _split_table(spark, tmp_path / "t", rows)
+    got = {r["id"]: r for r in ingestion.QUERIES["t15_leak_free_split"](spark, d).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for k in range(40):
+        tied = [got[f"{c}{k:02}"] for c in "abcd"]
+        assert len({r["split"] for r in tied}) == 1 and {r["group_root"] for r in tied} == {f"a{k:02}"} and {r["positive"] for r in tied} == {int(k % 2 == 0)}
+    assert got["e1"]["group_root"] == "e1" and got["e2"]["group_root"] == "e2"
+    for y in (0, 1):
+        groups = {r["group_root"]: r["split"] for r in got.values() if r["positive"] == y}
+        assert sorted(list(groups.values()).count(s) for s in ("train", "validation", "test")) == [3, 3, 15]
+    assert {r["status"] for r in got.values()} == {"VALIDATED"}
+    assert ingestion.QUERIES["u05_split_leaks"](spark, d).count() == 0
+
+    space = Workspace(spark, "t")
+    x = space.cut(ingestion._tied_records(spark, d), "x")
+    near = ingestion._near_links(x, space)
+    for one, other in (("a00", "b00"), ("a01", "c01"), ("a02", "d02")):  # group id, hash, near pair
+        ids = [(r[0], "test" if r[0] == one else "train") for r in rows if r[0] in (one, other)]
+        assert ingestion._leaks(x, near, spark.createDataFrame(ids, "id string, split string")).count() == 2
+
+
+def test_small_tables_are_not_split(spark, tmp_path):
+    from hazardloom.plans import ingestion
+
+    d = _split_table(spark, tmp_path / "t", [(f"i{k}", None, f"text {k}", f"text {k}", None, k < 3) for k in range(30)])
+    got = ingestion.QUERIES["t15_leak_free_split"](spark, d).collect()
+    assert len(got) == 30 and {(r["split"], r["status"]) for r in got} == {("train", "INSUFFICIENT_VALIDATION_DATA")}
