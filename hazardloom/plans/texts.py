@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazardloom.functions import text as X
+from hazardloom.functions.negation import suppressed
 from hazardloom.plans.views import Registry, ctes, reports
-from hazardloom.storage import table
+from hazardloom.storage import spread, table
 
 REG = Registry()
 R = ctes("r")
@@ -102,6 +103,12 @@ def _(spark, d):
     return reports(spark, d).select("id", F.size(F.filter(clauses, lambda x: x.rlike(f"(^|[^a-z])({_NEGATOR})[^a-z].{{0,48}}({_HAZARD})"))).cast("long").alias("n_negated"))
 
 
+@REG.add("x12_suppressed_text")
+def _(spark, d):
+    """Narratives without negated hazard clauses, with those clauses and the method; x12_negated_hazards only counts, on marks alone."""
+    return spread(reports(spark, d).select("id", "raw_text")).select("id", suppressed(F.col("raw_text")).alias("s")).select("id", "s.*")
+
+
 @REG.add("x15_features", R + "SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_hit(w)} THEN '{k}' END" for k, w in X.ENERGY.items()) + f"], lambda x: x IS NOT NULL), ',') AS energy_types, {_hit(X.PROXIMITY)} AS proximity, {_hit(X.BARRIER)} AS barrier_failure FROM r")
 def _(spark, d):
     t = F.col("raw_text")
