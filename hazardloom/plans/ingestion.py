@@ -78,6 +78,43 @@ for _s, _sql in (("phmsa", PHMSA_SQL), ("cer", CER_SQL), ("oisd", OISD_SQL)):
     REG.add(f"s_{_s}_normalised", _sql)(_adapt)
 
 
+def _rule_sql(words: str, rules: list[tuple[str, str]], otherwise: str) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({words}, '{k}')" for k in keys.split("|")) + f" THEN '{rule}'" for keys, rule in rules) + f" ELSE {otherwise} END"
+
+
+def _say_sql(before: str, c: str) -> str:
+    return f"CASE WHEN {c} <> '' THEN '{before}' || {c} || '.' ELSE '' END"
+
+
+def _told_sql(c: str, *parts: str) -> str:
+    return f"CASE WHEN length({_t(c)}) >= 10 THEN {_t(c)} ELSE {_join(list(parts), ' ')} END"
+
+
+_or = lambda a, b: f"CASE WHEN {_t(a)} <> '' THEN {_t(a)} ELSE {b} END"
+_PTOLD = PHMSA_SQL.split("'Pipeline Transmission & Distribution' AS activity, ")[1].split(" AS description")[0]
+_PWORDS = f"upper({_t('cause')} || ' ' || {_t('subcause')} || ' ' || {_PTOLD})"
+_PLSR = _rule_sql(_PWORDS, [("CORROSION|MATERIAL FAILURE", "Asset Integrity / Work Authorisation"), ("EXCAVATION|THIRD PARTY|DIGGING", "Excavation / Line of Fire"), ("ISOLATION|VALVE", "Energy Isolation")], f"CASE WHEN {_flag('ignite_ind')} OR {_flag('explode_ind')} OR contains({_PWORDS}, 'HOT WORK') THEN 'Hot Work' END")
+_PMORE = f", {_PLSR} AS lsr, 'Pressure & Chemical Hydrocarbon' AS energy, json_object('system_part', system_part_involved, 'release_volume', CAST(unintentional_release_bbls AS VARCHAR), 'commodity_type', {_t('commodity_released_type')}, 'fire_ignition', {_flag('ignite_ind')}, 'explosion', {_flag('explode_ind')})::VARCHAR AS metadata FROM phmsa_incidents"
+_CTOLD = _told_sql("what_happened", f"'CER recorded pipeline incident involving ' || {_or('company', chr(39) + 'operator' + chr(39))} || ' on ' || {_or('pipeline_name', chr(39) + 'pipeline' + chr(39))} || '.'", _say_sql("Primary cause: ", _t("primary_cause")), _say_sql("Substance involved: ", _t("substance")), _say_sql("Effects observed: ", _t("adverse_effects")))
+_CLSR = _rule_sql(f"upper({_t('primary_cause')} || ' ' || {_CTOLD})", [("CORROSION|CRACKING|DEFECT", "Asset Integrity / Work Authorisation"), ("EXTERNAL INTERFERENCE|EXCAVATION", "Excavation / Line of Fire"), ("INCORRECT OPERATION|VALVE|ISOLATION", "Energy Isolation"), ("FIRE|EXPLOSION", "Hot Work")], "NULL")
+_CMORE = f", {_CLSR} AS lsr, 'Pressure & Stored Chemical Energy' AS energy, json_object('pipeline_name', {_t('pipeline_name')}, 'province', {_t('province')}, 'substance', {_t('substance')}, 'significant_flag', lower({_t('significant')}) IN ('yes', 'true', '1'), 'approximate_volume_released', approximate_volume_released)::VARCHAR AS metadata FROM cer_incidents"
+_OTOLD = _told_sql("description_of_incident", f"'OISD safety case record at ' || {_or('installation_unit', _or('organization', chr(39) + 'oil & gas installation' + chr(39)))} || '.'", _say_sql("Activity underway: ", f"coalesce({_opt(_t('activity_underway'))}, '')"), _say_sql("Hazard encountered: ", _t("hazard_type")), _say_sql("Barrier deficiency: ", _t("barrier_failure")))
+_ORULE = _or("life_saving_rule_violated", _t("oisd_standard"))
+_OLSR = _rule_sql(f"upper({_ORULE} || ' ' || {_OTOLD} || ' ' || coalesce({_opt(_t('barrier_failure'))}, ''))", [("ISOLATION|LOTO|ENERGY", "Energy Isolation"), ("HOT WORK|PERMIT|PTW|OISD-STD-105", "Hot Work / Work Authorisation"), ("LINE OF FIRE|HOSE|PRESSURE", "Line of Fire"), ("CONFINED SPACE|CSE", "Confined Space Entry"), ("LIFTING|CRANE|SUSPENDED", "Mechanical Lifting"), ("BYPASS|INTERLOCK", "Bypassing Safety Controls")], f"nullif({_ORULE}, '')")
+_OMORE = f", {_OLSR} AS lsr, coalesce({_opt(_t('energy_source'))}, 'Hydrocarbon Chemical & Pressure Energy') AS energy, json_object('organization', {_t('organization')}, 'unit', {_t('installation_unit')}, 'oisd_standard', oisd_standard)::VARCHAR AS metadata FROM oisd_incidents"
+_FULL = {
+    "phmsa": PHMSA_SQL.replace(" FROM phmsa_incidents", _PMORE),
+    "cer": CER_SQL.replace(f"{_t('what_happened')} AS description", f"{_CTOLD} AS description").replace(" FROM cer_incidents", _CMORE),
+    "oisd": OISD_SQL.replace(f"{_t('description_of_incident')} AS description", f"{_OTOLD} AS description").replace(" FROM oisd_incidents", _OMORE),
+}
+for _s, _sql in _FULL.items():
+
+    def _adapt_full(spark, d, s=_s):
+        return adapters.ADAPTERS[s](table(spark, d, f"{s}_incidents"), full=True)
+
+    REG.add(f"s_{_s}_full", _sql)(_adapt_full)
+
+
 @REG.add("s10_osha_normalised")
 def _(spark, d):
     """Oil and gas records of the OSHA csv files: parsed, filtered by domain, normalised."""

@@ -140,3 +140,17 @@ def test_small_tables_are_not_split(spark, tmp_path):
     d = _split_table(spark, tmp_path / "t", [(f"i{k}", None, f"text {k}", f"text {k}", None, k < 3) for k in range(30)])
     got = ingestion.QUERIES["t15_leak_free_split"](spark, d).collect()
     assert len(got) == 30 and {(r["split"], r["status"]) for r in got} == {("train", "INSUFFICIENT_VALIDATION_DATA")}
+
+
+def test_osha_rules(spark):
+    from hazardloom.sources import adapters
+
+    base = {"ID": "1", "NAICS": "213112", "Employer": "Acme", "City": "X", "State": "TX", "EventTitle": "Caught in machinery", "SourceTitle": "winch", "NatureTitle": "Burns", "PartTitle": "Hand", "Hospitalized": "1", "Amputation": "1", "Final Narrative": "A high voltage line was touched."}
+    short = base | {"ID": "2", "NAICS": "999", "Employer": "Rig Crew", "EventTitle": "", "Hospitalized": "0", "Final Narrative": "short", "NatureTitle": None}
+    none = base | {"ID": "3", "Hospitalized": "0", "Amputation": "0"}
+    got = {r["report_id"]: r for r in adapters.osha(spark.createDataFrame([(x,) for x in (base, short, none)], "fields map<string,string>")).collect()}
+    a, b, c = (got[f"OSHA-{k}"] for k in "123")
+    assert (a["sector"], a["injury_severity"], a["consequence"], a["lsr"], a["energy"]) == ("Upstream - Drilling and Well Services", "HOSPITALIZED", "Burns", "Line of Fire", "Electrical Energy")
+    assert a["barrier_failure"] == "Deficiency in barrier during Caught in machinery" and a["activity"] == "Caught in machinery involving winch" and json.loads(a["metadata"])["part_of_body"] == "Hand"
+    assert (b["sector"], b["injury_severity"], b["consequence"], b["barrier_failure"], b["lsr"]) == ("Oil and Gas Operations", "AMPUTATION", "Severe Occupational Injury", None, None)
+    assert b["description"] == "OSHA severe injury reported at Rig Crew. Event: winch." and (c["injury_severity"], c["sif_potential"]) == (None, None)
