@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hazardloom.functions import text as X
-from hazardloom.plans import texts
+from hazardloom.plans import ingestion, texts
 from hazardloom.plans.monitoring import EV, _metrics, _metrics_sql, evaluation
 from hazardloom.plans.views import Registry, classifications, ctes, decisions, reports, triples
-from hazardloom.storage import table
+from hazardloom.storage import Workspace, table
 
 REG = Registry()
 R = ctes("r")
@@ -157,13 +157,21 @@ def _(spark, d):
     return reports(spark, d).select("id", (direct.cast("int") + X.hits(t, "almost|nearly|could have|potential|no injury|close call").cast("int")).alias("pos"), (X.hits(t, "housekeeping|slippery|hard hat|signage|documentation") & ~direct).cast("int").alias("neg"))
 
 
+def _fitted(train, share: float):
+    """TF-IDF (1-2-grams, 5,000 features) and logistic regression with class weights, from (y, norm_text); ``share`` of positives."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, SQLTransformer, StopWordsRemover, Tokenizer
+
+    train = train.withColumn("w", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    steps = [Tokenizer(inputCol="norm_text", outputCol="t0"), StopWordsRemover(inputCol="t0", outputCol="t1"), NGram(n=2, inputCol="t1", outputCol="t2"), SQLTransformer(statement="SELECT *, concat(t1, t2) AS t3 FROM __THIS__"), CountVectorizer(vocabSize=5000, minDF=2, inputCol="t3", outputCol="tf"), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol="y", weightCol="w", maxIter=30, regParam=0.01)]
+    return Pipeline(stages=steps).fit(train)
+
+
 @REG.add("t16_trained_classifier")
 def _(spark, d):
     """TF-IDF (1-2-grams, 5,000 features) and logistic regression with class weights, fitted on four folds of the texts,
     scored on the fifth: (id, label, probability). Folds go by text, so copies never part."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, SQLTransformer, StopWordsRemover, Tokenizer
     from pyspark.ml.functions import vector_to_array
 
     x = table(spark, d, "incident_records").filter("norm_text != '' and label is not null").select("id", "label", "norm_text").distinct()
@@ -172,10 +180,41 @@ def _(spark, d):
     share = train.agg(F.avg("y").alias("p")).first()["p"]
     if share is None or share in (0.0, 1.0):
         return held.select("id", "label", F.lit(share).cast("double").alias("probability"))
-    train = train.withColumn("w", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    steps = [Tokenizer(inputCol="norm_text", outputCol="t0"), StopWordsRemover(inputCol="t0", outputCol="t1"), NGram(n=2, inputCol="t1", outputCol="t2"), SQLTransformer(statement="SELECT *, concat(t1, t2) AS t3 FROM __THIS__"), CountVectorizer(vocabSize=5000, minDF=2, inputCol="t3", outputCol="tf"), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol="y", weightCol="w", maxIter=30, regParam=0.01)]
-    model = Pipeline(stages=steps).fit(train)
-    return model.transform(held.withColumn("w", F.lit(1.0))).select("id", "label", F.round(vector_to_array("probability")[1], 6).alias("probability"))
+    return _fitted(train, share).transform(held.withColumn("w", F.lit(1.0))).select("id", "label", F.round(vector_to_array("probability")[1], 6).alias("probability"))
+
+
+def _stratified(x, folds: int):
+    """``x`` (id, y, ...) with a fold: rows of a class in the order of a hash, dealt in turn, so folds differ by one row of a class at most.
+    Ranks run inside hash ranges, after the counts of those before."""
+    g = x.withColumn("h", F.xxhash64("id", F.lit(42))).withColumn("range", F.pmod("h", F.lit(1024)))
+    sizes = g.groupBy("y", "range").agg(F.count("*").alias("k"))
+    sizes = sizes.select("y", "range", (F.sum("k").over(W.partitionBy("y").orderBy("range")) - F.col("k")).alias("before"))  # at most 2 x 1024 rows
+    rank = F.col("before") + F.row_number().over(W.partitionBy("y", "range").orderBy("h", "id"))
+    return g.join(sizes, ["y", "range"]).withColumn("fold", F.pmod(rank, F.lit(folds))).select(*x.columns, "fold")
+
+
+@REG.add("a34_cross_validation")
+def _(spark, d):
+    """Means of precision, recall and F1 over stratified folds of the train split: five, or as many as the smaller class has rows; none below two."""
+    space = Workspace(spark, "a34")
+    train = ingestion.QUERIES["t15_leak_free_split"](spark, d).filter("split = 'train'").select("id")
+    rows = table(spark, d, "incident_records").filter("norm_text != '' and label is not null").groupBy("id").agg(F.max("label").cast("double").alias("y"), F.min("norm_text").alias("norm_text"))
+    x = space.cut(rows.join(train, "id"), "train")
+    n, yes = x.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    folds = int(min(5, yes, n - yes))
+    schema = "cv_folds int, cv_precision_mean double, cv_recall_mean double, cv_f1_mean double"
+    if folds < 2:
+        return spark.createDataFrame([(0, None, None, None)], schema)
+    x = space.cut(_stratified(x, folds), "folds")
+    share = {r["fold"]: r for r in x.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("yes")).collect()}  # five rows
+    got = []
+    for k in range(folds):
+        p = (yes - share[k]["yes"]) / (n - share[k]["n"])
+        said = _fitted(x.filter(F.col("fold") != k), p).transform(x.filter(F.col("fold") == k).withColumn("w", F.lit(1.0)))
+        tp, fp, fn = said.agg(*(F.count_if(F.expr(e)) for e in ("prediction = 1 and y = 1", "prediction = 1 and y = 0", "prediction = 0 and y = 1"))).first()
+        ratio = lambda a, b: a / b if b else 0.0
+        got.append((ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(2 * tp, 2 * tp + fp + fn)))
+    return spark.createDataFrame([(folds, *(round(sum(m) / folds, 3) for m in zip(*got)))], schema)
 
 
 @REG.add("t17_calibration")
