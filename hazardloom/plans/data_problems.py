@@ -30,8 +30,7 @@ def p1_table(source: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         """The consistent typed table of one source, with the casts that failed."""
         records, files = _raw(spark, d)
-        changed = Workspace(spark, "p1").cut(schema_drift.changes(records, files), "changes")
-        return schema_drift.consistent_table(records, files, source, changed)
+        return schema_drift.consistent_table(records, files, source, Workspace(spark, "p1"))
 
     return query
 

@@ -8,6 +8,7 @@ import pytest
 
 from hazardloom.operators import raw_rows, schema_drift, time_normal
 from hazardloom.sources import delimited
+from hazardloom.storage import Workspace
 
 RECORDS = "file_id long, line_no int, line_text string, source string"
 FILES = "file_id long, source string, feed_id string, file_seq int, file_format string, delivered_at string, record_count int"
@@ -71,11 +72,38 @@ def test_schema_changes(spark):
     rec = [(k, i, line, "x") for k, lines in ((1, one), (2, two), (3, three), (4, [])) for i, line in enumerate(lines)]
     got = schema_drift.changes(spark.createDataFrame(rec, RECORDS), files).select("file_id", "change_kind", "field_name", "old_field_name").distinct().collect()
     assert sorted(map(tuple, got)) == sorted([(2, "renamed", "IncidentNo", "Incident No"), (2, "removed", "site", ""), (2, "added", "mood", ""), (2, "retyped", "n", ""), (3, "retyped", "n", ""), (3, "retyped", "mood", "")])
-    t = schema_drift.consistent_table(spark.createDataFrame(rec, RECORDS), files, "export")
+    t = schema_drift.consistent_table(spark.createDataFrame(rec, RECORDS), files, "export", Workspace(spark, "t"))
     assert t.count() == 18 and "cast_failures" in t.columns
+    few = schema_drift.consistent_table(spark.createDataFrame(rec, RECORDS), files, "export", Workspace(spark, "t"), most=2)
+    assert few.columns[2:] == ["incident_no", "n", "cast_failures", "collisions", "other_fields"] or len(few.columns) == 7
+    assert {k for r in few.collect() for k in r["other_fields"]} >= {"x", "mood"} - set(few.columns)
     assert schema_drift.changes(spark.createDataFrame([], RECORDS), files).count() == 0
 
 
+def test_inner_paths_and_whole_values(spark):
+    """A field inside an object is compared where both files have the object; long values that differ late are told apart."""
+    files = spark.createDataFrame([(k, "oisd", "f", k, "jsonl", "", 3) for k in (1, 2, 3)], FILES)
+    opening = "the same opening of more than a dozen words that every one of these two long texts has before it "
+    one = ['{"site": {"name": "dock", "old": 1}, "q1": "%salpha beta gamma delta epsilon zeta eta theta iota kappa", "q2": "%sone two three four five six seven eight nine ten", "late": "x"}' % (opening, opening)] * 3
+    two = ['{"site": {"name": "dock"}, "z2": "%salpha beta gamma delta epsilon zeta eta theta iota kappa", "z1": "%sone two three four five six seven eight nine ten", "late": {"a": 1}}' % (opening, opening)] * 3
+    rec = [(k, i, line, "x") for k, lines in ((1, one), (2, two), (3, ["[1]", "{", None])) for i, line in enumerate(lines)]
+    got = schema_drift.changes(spark.createDataFrame(rec, RECORDS), files).select("file_id", "change_kind", "field_name", "old_field_name").collect()
+    assert sorted(map(tuple, got)) == sorted([(2, "removed", "site->old", ""), (2, "renamed", "z2", "q1"), (2, "renamed", "z1", "q2"), (2, "retyped", "late", "")])
+
+
+def test_no_merge_of_fields_that_stand_together(spark):
+    """Renames a -> b in one feed never merge a and b where a file has both; two values under one name are reported."""
+    files = spark.createDataFrame([(1, "export", "f", 1, "jsonl", "", 1), (2, "export", "f", 2, "jsonl", "", 1), (3, "export", "g", 1, "jsonl", "", 1)], FILES)
+    rec = [(1, 0, '{"Site Name": "dock"}', "x"), (2, 0, '{"site_name": "dock"}', "x"), (3, 0, '{"Site Name": "dock", "site_name": "yard"}', "x")]
+    df = spark.createDataFrame(rec, RECORDS)
+    space = Workspace(spark, "t")
+    packed = schema_drift.file_fields(df, files, ("export",), space)
+    names = schema_drift.aliases(schema_drift.changes_between(packed, files, ("export",)), packed, files, "export")
+    assert names == {"Site Name": "Site Name", "site_name": "site_name"}
+    merged = {r["file_id"]: r for r in schema_drift.consistent_rows(df, files, "export", {"site_name": "Site Name", "Site Name": "Site Name"}).collect()}
+    assert merged[3]["fields"] == {"Site Name": "dock"} and merged[3]["collisions"] == {"site_name": "yard"} and merged[2]["fields"] == {"Site Name": "dock"} and merged[2]["collisions"] == {}
+
+
 def test_name_similarity():
     assert schema_drift.name_similarity("Report Number", "report_number") == 1.0
     assert schema_drift.name_similarity("department", "dept") > 0.3
