@@ -9,13 +9,14 @@ from the number of zones (a bounded vocabulary), never from the data.
 Defined cases: null, missing, unreadable or impossible values are not listed, nor are local times whose area
 has no zone; a record that comes several times gives one row, the instant most of its notations agree on,
 times of day before dates, the finer before the coarser; empty inputs give no rows; areas are compared
-without case and surrounding white space.
+without case and surrounding white space; years from 1 to 9999 are read, those past the interval table by its
+last rules; a zone name counts if the zone list has it, however many other tails the values end in.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
-from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+from datetime import date, datetime, timedelta, timezone
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError, available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,22 @@ NOTATIONS: list[tuple[str, str]] = [
 ]
 
 
-def zone_intervals(spark: SparkSession, zones: list[str], first: int = 1900, last: int = 2100) -> DataFrame:
+#: Years with intervals of their own. Local mean time holds in every zone before them; after them the last rule goes on,
+#: so a later year is matched as one of the last 28 with the same calendar.
+FIRST_YEAR, LAST_YEAR = 1800, 2099
+
+
+def _matched_year(year: Column) -> Column:
+    """The year whose intervals serve ``year``."""
+    leap = lambda y: y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
+    same = {date(y, 1, 1).isoweekday() + 10 * leap(y): y for y in range(LAST_YEAR - 27, LAST_YEAR + 1)}
+    first = F.make_date(year, F.lit(1), F.lit(1))
+    calendar = (F.weekday(first) + 1) + F.when((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)), 10).otherwise(0)
+    late = F.element_at(_literal_map(same), calendar)
+    return F.when(year > LAST_YEAR, late).when(year <= FIRST_YEAR, F.lit(FIRST_YEAR + 1)).otherwise(year)
+
+
+def zone_intervals(spark: SparkSession, zones: list[str], first: int = FIRST_YEAR, last: int = LAST_YEAR + 1) -> DataFrame:
     """(zone_name, year, local_start, local_end, held_until, offset) in local seconds; held_until closes the gap of a jump."""
     rows = []
     for name in sorted(set(zones)):
@@ -142,7 +158,9 @@ def normalise(records: DataFrame, zones: DataFrame) -> DataFrame:
     rows = records.select("source", "record_no", "value", "area").distinct()
     known = [r[0] for r in areas.select("area_zone").filter("area_zone is not null").distinct().collect()]  # a vocabulary of IANA zones
     told = F.regexp_extract("value", r"([A-Za-z]+(?:/[A-Za-z_+\-0-9]+)+)\s*$", 1)
-    told = [r[0] for r in rows.select(told.alias("z")).filter("z != ''").distinct().limit(1000).collect()]
+    # only names of the zone list reach the driver: about 600, however many tails the values have
+    listed = spark.createDataFrame([(z,) for z in sorted(available_timezones())], "z string")
+    told = [r[0] for r in rows.select(told.alias("z")).join(F.broadcast(listed), "z", "left_semi").distinct().collect()]
     intervals = zone_intervals(spark, [*known, *told]).withColumnRenamed("zone_name", "i_zone")
     parsed = parse_times(rows, "value", F.lower(F.trim("source")) == "phmsa")
     parsed = parsed.join(areas, (F.lower(F.trim("source")) == F.col("z_source")) & (F.lower(F.trim("area")) == F.col("z_area")), "left").drop("z_source", "z_area")
@@ -150,8 +168,11 @@ def normalise(records: DataFrame, zones: DataFrame) -> DataFrame:
     open_offset = F.col("t_unix").isNull() & F.col("t_local").isNotNull() & F.col("t_offset").isNull()
     parsed = parsed.withColumn("t_offset", _offset_in_text(F.col("t_zone"))).withColumn("t_name", F.when(open_offset, F.when(F.col("t_zone").isNull(), F.col("area_zone")).when(named, F.col("t_zone"))))
     # the as-of match: equal zone and local year, then the interval bounds; two intervals at most hold one local time
-    hit = (F.col("t_name") == F.col("i_zone")) & (F.year("t_day") == F.col("year")) & (F.col("t_local") >= F.col("local_start")) & (F.col("t_local") < F.col("held_until"))
-    inside = F.col("t_local") < F.col("local_end")
+    start = lambda y: F.unix_date(F.make_date(y, F.lit(1), F.lit(1))).cast("long") * 86400
+    at_year = parsed.withColumn("t_year", _matched_year(F.year("t_day")))
+    parsed = at_year.withColumn("t_match", F.col("t_local") - start(F.year("t_day")) + start(F.col("t_year")))
+    hit = (F.col("t_name") == F.col("i_zone")) & (F.col("t_year") == F.col("year")) & (F.col("t_match") >= F.col("local_start")) & (F.col("t_match") < F.col("held_until"))
+    inside = F.col("t_match") < F.col("local_end")
     one = lambda c: F.first(c, ignorenulls=True).alias(c)
     matched = (
         parsed.join(intervals, hit, "left")

@@ -17,10 +17,13 @@ _local_root: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests)."""
+    """The shared folder of the session; a folder of this machine only on a local master with none set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "root" not in _local_root:
         _local_root["root"] = "file://" + tempfile.mkdtemp(prefix="hazardloom-")
     return _local_root["root"]
@@ -32,7 +35,6 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/hazardloom/{name}-{uuid.uuid4().hex[:12]}"
-        self._paths: dict[int, str] = {}
         self._n = 0
 
     def cut(self, df: DataFrame, label: str = "t") -> DataFrame:
@@ -41,17 +43,19 @@ class Workspace:
         path = f"{self.base}/{self._n:04d}-{label}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        out._workspace_path = path  # the table's own folder goes with the object, not with its id
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        """Delete tables that nothing will read again."""
+        """Delete tables made by ``cut`` that nothing will read again; frames derived from them can't be named here."""
         for t in tables:
-            path = self._paths.pop(id(t), None) if t is not None else None
-            if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            path = getattr(t, "_workspace_path", None) if t is not None else None
+            if path is None:
+                if t is not None:
+                    raise ValueError("only tables of this workspace can be dropped")
+                continue
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,47 +1,56 @@
 """Structured Streaming queries over landing folders. The reference streams nothing: these are extensions.
 
 Each query drains its source with ``availableNow`` into a table below the checkpoint folder, with the
-exactly-once checkpoint of the sink, and returns that table.
+exactly-once checkpoint of the sink, and returns that table. Windows run in update mode, so the watermark drops
+their state once they are past it while the table keeps their last counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardloom.storage import Workspace
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stream over the Parquet files of one table."""
-    import os
-
+    """A stream over the Parquet files of one table, on whatever file system its path names."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    if os.path.isdir(path):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
         return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run the stream to the end of its input and give the result as a table."""
+def drain(spark: SparkSession, stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run the stream to the end of its input and give the result as a table.
+
+    Without keys rows are appended. With keys the stream runs in update mode: every micro-batch writes the rows that
+    changed into a folder of its own number (a batch that runs again overwrites it), and the last row of a key counts.
+    """
     space = Workspace(spark, name)
     out, progress = f"{space.base}/out", f"{space.base}/progress"
-    if mode == "append":
+    if not keys:
         query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start()
     else:
 
-        def store(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+        def store(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-        query = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        query = stream.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise RuntimeError(str(query.exception()))
-    return spark.read.schema(stream.schema).parquet(out)
+    if not keys:
+        return spark.read.schema(stream.schema).parquet(out)
+    values = [c for c in stream.columns if c not in keys]
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    last = spark.read.schema(schema).parquet(out).groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*keys, "v.*")
 
 
 def tumbling_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -60,21 +69,15 @@ def first_deliveries(reports: DataFrame, late: str = "400 days") -> DataFrame:
 
 
 def user_totals(events: DataFrame) -> DataFrame:
-    """Running count and last type per user, in custom state."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for b in batches:
-            n, total = n + len(b), total + float(b["value"].fillna(0.0).sum())
-        state.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [round(total, 4)]})
-
-    return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
+    """Running count, sum and last event type per user."""
+    last = F.max_by("event_type", F.struct("ts", "event_type"))
+    return events.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("value", F.lit(0.0))), 4).alias("total"), last.alias("last_type"))
 
 
-STREAMS: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str]] = {
-    "st01_tumbling_counts": ("events", tumbling_counts, "complete"),
-    "st02_sliding_counts": ("events", sliding_counts, "complete"),
-    "st03_first_deliveries": ("reports", first_deliveries, "append"),
-    "st04_user_totals": ("events", user_totals, "update"),
+#: name -> (table, stream, keys of the rows that change)
+STREAMS: dict[str, tuple[str, Callable[[DataFrame], DataFrame], tuple[str, ...]]] = {
+    "st01_tumbling_counts": ("events", tumbling_counts, ("starts", "event_type")),
+    "st02_sliding_counts": ("events", sliding_counts, ("starts",)),
+    "st03_first_deliveries": ("reports", first_deliveries, ()),
+    "st04_user_totals": ("events", user_totals, ("user_id",)),
 }

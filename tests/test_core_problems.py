@@ -133,6 +133,20 @@ def test_notations(spark):
     assert normalised(spark, []) == {}
 
 
+def test_any_year_and_any_number_of_tails(spark):
+    zone = ZoneInfo("America/Chicago")
+    years = [1201, 1799, 1800, 1801, 1850, 1883, 1899, 1900, 2099, 2100, 2101, 2250, 2400, 3004, 9998]
+    times = [datetime(y, m, d, 1, 30) for y in years for m, d in ((1, 1), (2, 28), (3, 10), (7, 1), (11, 6), (12, 31))]
+    # zoneinfo's own rule for far years; local mean time has seconds
+    want = {f"y{k}": t.replace(tzinfo=zone).astimezone(timezone.utc).strftime("%m-%dT%H:%M:%SZ") for k, t in enumerate(times)}
+    rows = [("phmsa", f"y{k}", f"{t:%m-%d %H:%M:%S}", "TX") for k, t in enumerate(times)]
+    rows = [(a, no, f"{t.year:04d}-{v}", c) for (a, no, v, c), t in zip(rows, times)]
+    rows += [("phmsa", f"t{k}", f"2024-07-01 12:00:00 Area{k}/Place{k}", None) for k in range(1200)] + [("phmsa", "z", "2024-07-01 12:00:00 Europe/Berlin", None)]
+    got = normalised(spark, rows)
+    assert got["z"] == "2024-07-01T10:00:00Z" and not any(k.startswith("t") for k in got)
+    assert {k: v.split("-", 1)[1] for k, v in got.items() if k != "z"} == want
+
+
 def test_local_times_by_brute_force(spark):
     rng = random.Random(5)
     zone, rows, want = ZoneInfo("America/St_Johns"), [], {}
