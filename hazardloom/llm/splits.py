@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hazardloom.llm.components import clean_id
-from hazardloom.operators.skew import join_hot
+from hazardloom.operators.skew import counted, join_hot
 from hazardloom.storage import Workspace
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -53,20 +53,21 @@ def spanning_forest(edges: DataFrame, space: Workspace, max_rounds: int = 40) ->
         # two components that chose one another are a cycle of two: the smaller one is the root
         parent = best.join(back, "b", "left").select("a", F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("p"))
         parent = space.cut(parent, "parent")
-        while True:
-            up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            jumped = space.cut(parent.join(up, "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "parent")
-            space.drop(parent)
-            parent = jumped.select("a", "p")
-            if jumped.filter("moved").isEmpty():
+        while True:  # all leaves of a star have one parent: its row is joined with salts where it is hot
+            up = counted(parent, parent.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", space)
+            jumped = join_hot(parent, up, "p", "n", stored=True).select("a", F.col("q").alias("p"))
+            if up.filter("p != q").isEmpty():
                 break
-        to = parent
-        u = to.select(F.col("a").alias("u"), F.col("p").alias("ru"))
-        v = to.select(F.col("a").alias("v"), F.col("p").alias("rv"))
-        moved = e.join(u, "u").join(v, "v").filter("ru != rv").groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min("w").alias("w"))
+            before, parent = parent, space.cut(jumped, "parent")
+            space.drop(before, up)
+        u = counted(e, parent.select(F.col("a").alias("u"), F.col("p").alias("ru")), "u", space)
+        v = counted(e, parent.select(F.col("a").alias("v"), F.col("p").alias("rv")), "v", space)
+        ends = join_hot(join_hot(e, u, "u", "n", stored=True), v, "v", "n", stored=True)
+        moved = ends.filter("ru != rv").groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min("w").alias("w"))
         nxt = space.cut(moved, "round")
-        new = space.cut(labels.join(to.select(F.col("a").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")), "labels")
-        space.drop(e, best, labels)
+        roots = counted(labels, parent.select(F.col("a").alias("root"), "p"), "root", space)
+        new = space.cut(join_hot(labels, roots, "root", "n", "left", stored=True).select("id", F.coalesce("p", "root").alias("root")), "labels")
+        space.drop(e, best, labels, parent, u, v, roots)
         e, labels = nxt, new
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
