@@ -27,9 +27,7 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     utc(spark)
     labels = consensus.latest_labels(table(spark, d, "analyst_decisions"), "report_id", "analyst_id", "analyst_label", "reviewed_at", "id")
-    space = Workspace(spark, "p5")
-    labels = space.cut(labels, "latest")
-    return (labels, *consensus.discover(labels, space))
+    return (labels, *consensus.discover(labels, Workspace(spark, "p5")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -108,6 +108,28 @@ def test_consensus(spark):
     assert rel["good1"] > rel["fair"] > rel["contrary"] and rel["contrary"] < 0
 
 
+@pytest.mark.parametrize("two_sided", [True, False])
+def test_both_consensus_plans_agree(spark, two_sided):
+    rng = random.Random(5)
+    rows = [(f"i{k:03d}", f"a{a}", float((k % 3 == 0) if rng.random() < 0.6 + 0.05 * a else (k % 3 != 0))) for k in range(120) for a in rng.sample(range(8), 4)]
+    labels = spark.createDataFrame(rows, "item string, annotator string, x double")
+    got = []
+    for packed in (100, 0):
+        truth, weights = consensus.discover(labels, Workspace(spark, "t"), two_sided=two_sided, packed=packed)
+        got.append(({r["item"]: (round(r["truth"], 4), r["n_labels"], r["n_positive"]) for r in truth.collect()}, {r["annotator"]: round(r["yes"], 3) for r in weights.collect()}))
+    assert got[0][0].keys() == got[1][0].keys() and got[0][1].keys() == got[1][1].keys()
+    assert all(abs(a[0] - got[1][0][k][0]) < 0.01 and a[1:] == got[1][0][k][1:] for k, a in got[0][0].items())
+    right = sum((t[0] > 0.5) == (int(k[1:]) % 3 == 0) for k, t in got[0][0].items())
+    assert right >= 105
+
+
+def test_unsettled_rounds_are_an_error(spark):
+    labels = spark.createDataFrame([("i", "a", 1.0), ("i", "b", 0.0), ("j", "a", 1.0), ("j", "b", 1.0)], "item string, annotator string, x double")
+    for packed in (100, 0):
+        with pytest.raises(RuntimeError):
+            consensus.discover(labels, Workspace(spark, "t"), rounds=1, packed=packed)
+
+
 def test_consensus_of_nothing(spark):
     df = spark.createDataFrame([], "id string, report_id string, analyst_id string, analyst_label boolean, reviewed_at int")
     found, _ = consensus.discover(consensus.latest_labels(df, "report_id", "analyst_id", "analyst_label", "reviewed_at", "id"), Workspace(spark, "t"))
