@@ -60,14 +60,18 @@ def spanning_forest(edges: DataFrame, space: Workspace, max_rounds: int = 40) ->
                 break
             before, parent = parent, space.cut(jumped, "parent")
             space.drop(before, up)
-        u = counted(e, parent.select(F.col("a").alias("u"), F.col("p").alias("ru")), "u", space)
-        v = counted(e, parent.select(F.col("a").alias("v"), F.col("p").alias("rv")), "v", space)
+        # rows of each vertex as left end, right end and label, so that hot ones are salted
+        rows = e.select(F.col("u").alias("a"), F.lit(1).alias("nu"), F.lit(0).alias("nv"), F.lit(0).alias("nr"))
+        rows = rows.union(e.select("v", F.lit(0), F.lit(1), F.lit(0))).union(labels.select("root", F.lit(0), F.lit(0), F.lit(1)))
+        to = space.cut(parent.join(rows.groupBy("a").agg(*(F.sum(c).alias(c) for c in ("nu", "nv", "nr"))), "a"), "to")
+        u = to.select(F.col("a").alias("u"), F.col("p").alias("ru"), F.col("nu").alias("n"))
+        v = to.select(F.col("a").alias("v"), F.col("p").alias("rv"), F.col("nv").alias("n"))
         ends = join_hot(join_hot(e, u, "u", "n", stored=True), v, "v", "n", stored=True)
         moved = ends.filter("ru != rv").groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min("w").alias("w"))
         nxt = space.cut(moved, "round")
-        roots = counted(labels, parent.select(F.col("a").alias("root"), "p"), "root", space)
+        roots = to.select(F.col("a").alias("root"), "p", F.col("nr").alias("n"))
         new = space.cut(join_hot(labels, roots, "root", "n", "left", stored=True).select("id", F.coalesce("p", "root").alias("root")), "labels")
-        space.drop(e, best, labels, parent, u, v, roots)
+        space.drop(e, best, labels, parent, to)
         e, labels = nxt, new
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
