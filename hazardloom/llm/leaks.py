@@ -1,9 +1,10 @@
 """Problem 8: evaluation passages inside training text.
 
 The test items are the index, the corpus is the queries: an inverted index with BM25 weights and block maxima
-is built over the passages (a bounded, checked number) and sent to every task once. Each document is cut into
-overlapping windows; each window asks the index with block-max WAND for the items above a threshold, and what
-comes back is verified word by word. The threshold loses nothing: per item it is the least score that any
+is built over the passages (in shards of bounded size) and sent to every task once. Each document is cut into
+overlapping windows; a window whose known terms could reach the least threshold at all (told in vectors for a
+whole batch) asks the index with block-max WAND for the items above theirs, and what comes back is verified word
+by word. The threshold loses nothing: per item it is the least score that any
 window can have that holds a reportable part, which is the minimum over the item's own word windows.
 
 The terms are shingles (3 words, 4 characters), which texts that share no passage hardly have in common.
@@ -21,13 +22,19 @@ from __future__ import annotations
 import heapq
 import math
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hazardloom.storage import spread
 
@@ -35,8 +42,8 @@ RUN, SPAN, CHARS = 12, 24, 30
 #: Windows of a document; the overlap holds the longest stretch that a verdict may rest on (24 words and 4 additions).
 WINDOW, STRIDE = 64, 32
 CHAR_WINDOW, CHAR_STRIDE = 128, 64
-#: The index is broadcast; more items than this is an error, not a larger broadcast.
-MAX_ITEMS = 50_000
+#: Signs of passages in one index: some 170,000 words, about 100 MB where it is held. More items are more shards.
+SHARD_CHARS = 1_000_000
 K1, B, BLOCK = 1.2, 0.75, 16
 #: Any case has so many equal words in a row: e edits leave e + 1 runs of at least 9 e words together, e = 3 being the worst.
 SEED = 7
@@ -64,18 +71,20 @@ class Index:
     ids: list[int]
     words: list
     terms: list[list]
-    postings: dict[str, list[tuple[int, float]]] = field(default_factory=dict)
+    postings: dict[str, tuple[list[int], list[float]]] = field(default_factory=dict)
     block_max: dict[str, list[float]] = field(default_factory=dict)
     list_max: dict[str, float] = field(default_factory=dict)
     threshold: list[float] = field(default_factory=list)
     least: float = math.inf
-    seeds: dict[int, set] = field(default_factory=dict)
+    seeds: dict[int, dict] = field(default_factory=dict)
     sets: dict[int, set] = field(default_factory=dict)
 
-    def runs(self, k: int) -> set:
-        """The runs of ``SEED`` words of an item, made when it is first asked for."""
+    def runs(self, k: int) -> dict:
+        """Where each run of ``SEED`` words of an item begins, made when it is first asked for."""
         if k not in self.seeds:
-            self.seeds[k] = set(shingles(self.words[k], SEED))
+            at = self.seeds[k] = defaultdict(list)
+            for i, run in enumerate(shingles(self.words[k], SEED)):
+                at[run].append(i)
         return self.seeds[k]
 
     def term_set(self, k: int) -> set:
@@ -113,7 +122,7 @@ def build_index(items: list[tuple[int, object]], size: int, run: int, span: int
                 held = [w[t] for t in set(terms[i : i + span])]
                 low = min(low, sum(held) - sum(heapq.nlargest(lost, held)))
         index.threshold.append(low * (1 - 1e-9))
-    index.postings = dict(lists)
+    index.postings = {t: ([k for k, _ in p], [x for _, x in p]) for t, p in lists.items()}
     index.block_max = {t: [max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for t, p in lists.items()}
     index.list_max = {t: max(b) for t, b in index.block_max.items()}
     index.least = min(index.threshold)
@@ -122,61 +131,71 @@ def build_index(items: list[tuple[int, object]], size: int, run: int, span: int
 
 def above_threshold(index: Index, query: set) -> list[int]:
     """Positions of all items whose score reaches their threshold: document-at-a-time WAND with block maxima."""
-    top = [(t, index.list_max[t]) for t in query if t in index.list_max]
     least = index.least
-    if sum(x for _, x in top) < least:
-        return []
-    cursors = [[index.postings[t][0][0], 0, t, x] for t, x in top]  # item, position, term, list maximum
-    found = []
+    cursors = []  # [item, position, items, weights, block maxima, list maximum]
+    bound = 0.0
+    for t in query:
+        most = index.list_max.get(t)
+        if most is not None:
+            items, weights = index.postings[t]
+            cursors.append([items[0], 0, items, weights, index.block_max[t], most])
+            bound += most
+    found: list[int] = []
+    if bound < least:
+        return found
+    thresholds = index.threshold
+    first = itemgetter(0)
     while True:
-        cursors.sort(key=lambda c: c[0])
+        cursors.sort(key=first)
         bound, pivot = 0.0, -1
         for k, c in enumerate(cursors):
-            bound += c[3]
+            bound += c[5]
             if bound >= least:
                 pivot = k
                 break
         if pivot < 0:
             return found
         item = cursors[pivot][0]
-        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+        n = len(cursors)
+        while pivot + 1 < n and cursors[pivot + 1][0] == item:
             pivot += 1
-        if cursors[0][0] == item:
-            held = cursors[: pivot + 1]
-            if sum(index.block_max[c[2]][c[1] // BLOCK] for c in held) >= index.threshold[item]:
-                if sum(index.postings[c[2]][c[1]][1] for c in held) >= index.threshold[item]:
-                    found.append(item)
+        moved = cursors[: pivot + 1]
+        if moved[0][0] == item:
+            if sum([c[4][c[1] // BLOCK] for c in moved]) >= thresholds[item] and sum([c[3][c[1]] for c in moved]) >= thresholds[item]:
+                found.append(item)
             target = item + 1
-            moved = held
         else:
-            # block maxima of the lists that may hold the pivot; if they can't reach it, skip to the nearest block end
-            ends, high = [], 0.0
-            for c in cursors[: pivot + 1]:
-                p = index.postings[c[2]]
-                b = c[1] // BLOCK
-                while (b + 1) * BLOCK < len(p) and p[min(len(p), (b + 1) * BLOCK) - 1][0] < item:
-                    b += 1
-                high += index.block_max[c[2]][b]
-                ends.append(p[min(len(p), (b + 1) * BLOCK) - 1][0] + 1)
-            following = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else math.inf
-            target = item if high >= least else max(item, min(min(ends), following))
-            target = max(target, item)
-            moved = cursors[: pivot + 1]
+            # block maxima of the lists that may hold the pivot; below its own threshold it is passed, below the least of all the blocks are
+            ends, high = math.inf, 0.0
+            for c in moved:
+                items = c[2]
+                b = bisect_left(items, item, c[1]) // BLOCK
+                if b < len(c[4]):
+                    high += c[4][b]
+                    ends = min(ends, items[min(len(items), (b + 1) * BLOCK) - 1] + 1)
+            following = cursors[pivot + 1][0] if pivot + 1 < n else math.inf
+            target = item if high >= thresholds[item] else item + 1 if high >= least else max(item + 1, min(ends, following))
+        gone = False
         for c in moved:
-            p, k = index.postings[c[2]], c[1]
-            while k < len(p) and p[k][0] < target:
-                k += 1
-            c[1], c[0] = k, p[k][0] if k < len(p) else math.inf
-        cursors = [c for c in cursors if c[0] != math.inf]
-        if not cursors:
-            return found
-
-
-def holds_part(doc: list[str], item: list[str], run: int = RUN, span: int = SPAN) -> bool:
+            if c[0] < target:
+                k = bisect_left(c[2], target, c[1])
+                c[1] = k
+                if k < len(c[2]):
+                    c[0] = c[2][k]
+                else:
+                    c[0], gone = math.inf, True
+        if gone:
+            cursors = [c for c in cursors if c[0] != math.inf]
+            if not cursors:
+                return found
+
+
+def holds_part(doc: list[str], item: list[str], run: int = RUN, span: int = SPAN, near: set[int] | None = None) -> bool:
     """Whether ``doc`` has ``run`` consecutive words of ``item``, or ``span`` with at most a tenth of them edited.
 
     Dynamic programming over equal word pairs: for each pair and number of edits, the earliest word of the item
     that a stretch ending there can begin with. Between two pairs lie as many edits as the longer gap has words.
+    ``near``: only pairs on these diagonals (item minus doc) are looked at.
     """
     at: dict[str, list[int]] = defaultdict(list)
     for k, w in enumerate(item):
@@ -187,6 +206,8 @@ def holds_part(doc: list[str], item: list[str], run: int = RUN, span: int = SPAN
     recent: list[list[int]] = []
     for j, w in enumerate(doc):
         here = at.get(w, [])
+        if near is not None and here:
+            here = [i for i in here if i - j in near]
         for i in here:
             before = state.get((j - 1, i - 1))
             length = before[0] + 1 if before else 1
@@ -247,30 +268,39 @@ def _in_words(text: str, index: Index) -> set[int]:
     doc = words_of(text)
     found: set[int] = set()
     seen: dict[int, int] = {}  # item -> end of the stretch that is verified already
+    long, short = shingles(doc, SEED), shingles(doc, SHINGLE)
     for start, k in _asked(index, doc, SHINGLE, WINDOW, STRIDE):
         end = min(len(doc), start + WINDOW)
         if index.ids[k] in found or seen.get(k, -1) >= end:
             continue
-        item, seeds, terms = index.words[k], index.runs(k), index.term_set(k)
+        item = index.words[k]
         wide = len(item) + len(item) // 10
         low, high = max(0, start - wide), min(len(doc), end + wide)
         seen[k] = high if high == len(doc) else end
-        part = doc[low:high]
-        if not any(t in seeds for t in shingles(part, SEED)):
-            continue
-        hits = [t in terms for t in shingles(part, SHINGLE)]
-        sums = [0]
-        for h in hits:
-            sums.append(sums[-1] + h)
-        if any(all(hits[a : a + RUN - SHINGLE + 1]) and _run_of(part[a : a + RUN], item) for a in range(len(part) - RUN + 1)):
-            found.add(index.ids[k])
-        elif any(sums[min(len(hits), a + DENSE[0])] - sums[a] >= DENSE[1] for a in range(len(hits))) and holds_part(part, item):
+        seeds = index.runs(k)
+        if not seeds.keys().isdisjoint(long[low : high - SEED + 1]) and _verified(doc[low:high], item, long[low : high - SEED + 1], short[low : high - SHINGLE + 1], seeds, index.term_set(k)):
             found.add(index.ids[k])
     return found
 
 
-def _run_of(run: list[str], item: list[str]) -> bool:
-    return any(item[k : k + len(run)] == run for k in range(len(item) - len(run) + 1))
+def _verified(part: list[str], item: list[str], long: list, short: list, seeds: dict, terms: set) -> bool:
+    """The exact check. Any case has ``SEED`` equal words in a row, and its other words lie no further from that diagonal than edits shift them."""
+    runs: dict[int, tuple[int, int]] = {}  # diagonal -> end and length of its last run
+    for j, run in enumerate(long):
+        for i in seeds.get(run, ()):
+            last, length = runs.get(i - j, (-2, 0))
+            length = length + 1 if last == j - 1 else SEED
+            if length >= RUN:
+                return True
+            runs[i - j] = (j, length)
+    sums = [0]
+    for t in short:
+        sums.append(sums[-1] + (t in terms))
+    n = len(sums) - 1
+    if not any(sums[min(n, a + DENSE[0])] - sums[a] >= DENSE[1] for a in range(n)):
+        return False
+    shift = len(item) // 10
+    return holds_part(part, item, near={d + k for d in runs for k in range(-shift, shift + 1)})
 
 
 def _in_chars(text: str, index: Index) -> set[int]:
@@ -284,25 +314,120 @@ def _in_chars(text: str, index: Index) -> set[int]:
     return found
 
 
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id). ``docs``: doc_id, text. ``items``: item_id, lang, passage."""
-    rows = items.select("item_id", "lang", "passage").filter("item_id is not null and passage is not null").distinct().limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items: split them into several calls")
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class Screen:
+    """What an index knows, for vectors: hashed terms in order, the greatest weight a term can add, and the least threshold."""
+
+    vocabulary: dict
+    terms: np.ndarray
+    most: np.ndarray
+    least: float
+
+
+def _hashed(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` units from each position on; two terms of one hash only ask the index once too often."""
+    h = np.zeros(max(0, len(ids) - size + 1), dtype=np.uint64)
+    for k in range(size):
+        h = (h ^ ids[k : k + len(h)].astype(np.uint64)) * _PRIME
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def make_screen(index: Index) -> Screen:
+    vocabulary: dict = {}
+    terms, most = [], []
+    for t, x in index.list_max.items():
+        ids = np.array([vocabulary.setdefault(u, len(vocabulary)) for u in t], dtype=np.int64)
+        terms.append(int(_hashed(ids, len(t))[0]))
+        most.append(x)
+    terms, most = np.array(terms, dtype=np.uint64), np.array(most, dtype=float)
+    order = np.lexsort((-most, terms))  # of two terms with one hash the heavier comes first
+    return Screen(vocabulary, terms[order], most[order], index.least)
+
+
+def _may_hold(screen: Screen, units: pa.Array, of: np.ndarray, n: int, size: int, width: int, stride: int) -> np.ndarray:
+    """Which of n documents have a window whose known terms could reach the least threshold. ``units``: their words or signs, ``of``: their document."""
+    found = np.zeros(n, dtype=bool)
+    if len(units) < size or not len(screen.terms):
+        return found
+    coded = units.dictionary_encode()
+    known = np.array([screen.vocabulary.get(u, -1) for u in coded.dictionary.to_pylist()], dtype=np.int64)
+    ids = known[np.asarray(coded.indices)]
+    h = _hashed(ids, size)
+    inside = of[: len(h)] == of[size - 1 :]
+    for k in range(size):
+        inside &= ids[k : k + len(h)] >= 0
+    at = np.minimum(np.searchsorted(screen.terms, h), len(screen.terms) - 1)
+    worth = np.where(inside & (screen.terms[at] == h), screen.most[at], 0.0)
+    total = np.concatenate([[0.0], np.cumsum(worth)])
+    # every window of a document lies within two neighbouring strides of its own, counted from its first unit
+    first = np.searchsorted(of, of[: len(h)], side="left")
+    offset = np.arange(len(h)) - first
+    begins = np.flatnonzero(offset % stride == 0)
+    ends = np.minimum(begins + width - size + 1, len(h))
+    last = np.searchsorted(of, of[begins], side="right")
+    ends = np.maximum(begins, np.minimum(ends, last - size + 1))
+    held = total[np.minimum(ends, len(h))] - total[begins]
+    found[of[begins[held >= screen.least * (1 - 1e-6)]]] = True
+    return found
+
+
+def _candidates(texts: list, words: tuple[Index, Screen], chars: tuple[Index, Screen]) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts may hold a part of a spaced and of a Chinese item."""
+    plain = pa.array([unicodedata.normalize("NFC", t).casefold().encode("utf-8", "replace").decode() if t else "" for t in texts], pa.large_string())
+    lists = pc.split_pattern_regex(plain, r"[^\p{L}\p{M}\p{Nd}]+")
+    of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+    flat = lists.flatten()
+    real = np.asarray(pc.not_equal(flat, "")).astype(bool)
+    of, flat = of[real], flat.filter(pa.array(real))
+    in_words = _may_hold(words[1], flat, of, len(texts), SHINGLE, WINDOW, STRIDE)
+    in_chars = np.zeros(len(texts), dtype=bool)
+    if chars[0].ids:
+        han = np.flatnonzero(np.asarray(pc.match_substring_regex(plain, r"\p{Han}")).astype(bool))
+        units = [list(chars_of(texts[k])) for k in han]
+        of = np.repeat(np.arange(len(han)), [len(u) for u in units])
+        in_chars[han] = _may_hold(chars[1], pa.array([c for u in units for c in u], pa.string()), of, len(han), CHAR_SHINGLE, CHAR_WINDOW, CHAR_STRIDE)
+    return in_words, in_chars
+
+
+def _one_shard(docs: DataFrame, rows: list, schema: str) -> DataFrame:
     chinese = [(r[0], chars_of(r[2])) for r in rows if (r[1] or "").lower().startswith("zh")]
     spaced = [(r[0], words_of(r[2])) for r in rows if not (r[1] or "").lower().startswith("zh")]
-    shared = docs.sparkSession.sparkContext.broadcast((build_index(spaced, SHINGLE, RUN, SPAN, 4), build_index(chinese, CHAR_SHINGLE, CHARS, None, 0)))
+    indexes = build_index(spaced, SHINGLE, RUN, SPAN, 4), build_index(chinese, CHAR_SHINGLE, CHARS, None, 0)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple((i, make_screen(i)) for i in indexes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, chars = shared.value
         for pdf in batches:
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            in_words, in_chars = _candidates(texts, words, chars)
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                if isinstance(text, str) and text:
-                    found = _in_words(text, words)
-                    if chars.ids and _HAN.search(text):
-                        found |= _in_chars(text, chars)
-                    out += [(doc_id, i) for i in sorted(found)]
+            ids = pdf["doc_id"].tolist()
+            for k in np.flatnonzero(in_words | in_chars):
+                found = _in_words(texts[k], words[0]) if in_words[k] else set()
+                if in_chars[k]:
+                    found |= _in_chars(texts[k], chars[0])
+                out += [(ids[k], i) for i in sorted(found)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}").distinct()
+    return docs.mapInPandas(run, schema)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(doc_id, item_id). ``docs``: doc_id, text. ``items``: item_id, lang, passage.
+
+    Items are dealt by hash into shards of about ``shard_chars`` signs of passages; each shard is one index and one pass.
+    """
+    told = items.select("item_id", "lang", "passage").filter("item_id is not null and passage is not null").distinct()
+    size = told.agg(F.sum(F.length("passage"))).first()[0] or 0
+    shards = max(1, -(-size // shard_chars))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}"
+    texts = spread(docs.select("doc_id", "text"))
+    out = None
+    for k in range(shards):
+        one = _one_shard(texts, told.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect(), schema)
+        out = one if out is None else out.union(one)
+    return out.distinct()

@@ -66,6 +66,8 @@ def test_leaks_by_brute_force(spark):
     items = spark.createDataFrame([(k, "en", " ".join(p), "s") for k, p in enumerate(passages)] + [(99, "en", None, "s"), (98, "zh", "短", "s")], "item_id long, lang string, passage string, text string")
     got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), items).collect()
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want
+    sharded = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), items, shard_chars=900).collect()
+    assert set(map(tuple, sharded)) == want
     assert leaks.find_leaks(spark.createDataFrame([], "doc_id long, text string"), items).count() == 0
     assert leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), items.limit(0)).count() == 0
 
