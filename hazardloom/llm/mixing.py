@@ -18,10 +18,13 @@ from __future__ import annotations
 
 import base64
 import math
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,13 +32,18 @@ from pyspark.sql import Window as W
 from hazardloom.operators.skew import join_hot
 from hazardloom.storage import Workspace, spread
 
+#: Vocabulary file; a path that only the driver has is sent to the executors.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before byte-pair merging (fixed value of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Targets are a small table, broadcast and looped over on the driver; more than this is an error.
+MOST_TARGETS = 10_000
 #: Documents of a source that are rounded in one task.
 PART_ROWS = 50_000
-#: Longer texts are encoded in pieces cut at white space, which a merge never crosses.
+#: Longer texts are encoded in pieces of about this many signs.
 PIECE = 200_000
+#: Where a piece may end: before single white space between other signs, at which the pattern always splits.
+_CUT = re.compile(r"(?<=\S)\s(?=\S)")
 
 
 @lru_cache(maxsize=4)
@@ -47,16 +55,31 @@ def encoder(path: str):
     return tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def count_tokens(enc, text: str, piece: int = PIECE) -> int:
+    """Tokens of a text, however long; where no cut can be made the piece goes on."""
+    n = at = 0
+    while len(text) - at > piece:
+        cut = _CUT.search(text, at + piece)
+        if not cut:
+            break
+        n += len(enc.encode_ordinary(text[at : cut.start()]))
+        at = cut.start()
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def token_counts(docs: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
     """``docs`` with n_tokens in place of the text."""
     keep = [c for c in docs.columns if c != text]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != text) + ", n_tokens long"
 
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         for pdf in batches:
             out = pdf[keep].copy()
-            out["n_tokens"] = [sum(len(enc.encode_ordinary(t[i : i + PIECE])) for i in range(0, len(t), PIECE)) if isinstance(t, str) else 0 for t in pdf[text]]
+            out["n_tokens"] = [count_tokens(enc, t) if isinstance(t, str) else 0 for t in pdf[text]]
             yield out
 
     return spread(docs).mapInPandas(run, schema)
@@ -97,7 +120,9 @@ def mix(docs: DataFrame, targets: DataFrame, space: Workspace, total: float | No
     """((doc_id, source, n_tokens, rate, copies), (source, target_share, actual_share, ...)). ``docs``: doc_id, source, text."""
     norm = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     sized = space.cut(token_counts(docs.select("doc_id", norm("source").alias("source"), "text"), "text", path), "sized")
-    want = {r["source"]: (float(r["share"] or 0.0), int(r["cap"] or 0)) for r in targets.groupBy(norm("source").alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()}  # a row per target
+    want = {r["source"]: (float(r["share"] or 0.0), int(r["cap"] or 0)) for r in targets.groupBy(norm("source").alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).limit(MOST_TARGETS + 1).collect()}
+    if len(want) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} target sources")
     want = {s: (a, max(0, c)) for s, (a, c) in want.items() if a > 0}
     cells = space.cut(sized.filter("n_tokens > 0").groupBy("source", "n_tokens").agg(F.count("*").alias("n_docs")), "cells")
     spark = docs.sparkSession

@@ -111,6 +111,16 @@ def test_mixing(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="tokenizer file absent")
+def test_tokens_of_long_texts():
+    enc = mixing.encoder(mixing.TOKENIZER)
+    rng = random.Random(2)
+    texts = ["abcde fghij " * 35_001, "x" * 450_000, "पानी  की\n\n टंकी\t" * 30_000, "".join(rng.choice("ab, .\n  'st") for _ in range(450_000)), ""]
+    for t in texts:
+        assert mixing.count_tokens(enc, t) == len(enc.encode_ordinary(t))
+        assert mixing.count_tokens(enc, t[:5000], piece=7) == len(enc.encode_ordinary(t[:5000]))
+
+
 def units(spark, texts):
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, stop string")
     out = {}
