@@ -47,6 +47,8 @@ _RUN_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}_]+")
 _GLUES = regex.compile(r"(?r)[\p{Ll}\p{N}]\p{M}*\p{Ll}")
 _NEXT = regex.compile(r"([\"“„«「『(（\[¿¡‘‚‹]*)\s?([\p{L}\p{M}\p{N}_]+|.)", regex.S)
 _THAI_GAP = re.compile(r"(?<=[ก-ฮะ-ฺเ-ๅ็-๎])[^\S\n]*(?:\n)?[^\S\n]+(?=[ก-ฮะ-ฺเ-ๅ])|(?<=[ก-ฮะ-ฺเ-ๅ็-๎])\n(?=[ก-ฮะ-ฺเ-ๅ])")
+_THAI_SIGN = re.compile(r"[\u0e00-\u0e7f]")
+_DIGITS = re.compile(r"[0-9]+")
 _WIDE = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uac00-\ud7af"
 _CASELESS_WIDE = re.compile(r"[　-鿿豈-﫿가-힯]")
 _WIDE_SIGN = re.compile(f"[{_WIDE}]")
@@ -141,7 +143,7 @@ def scan(text: str) -> list[tuple]:
     blanks = [(m.start(), m.end()) for m in _BLANK.finditer(text, first, last)]
     lows = [first, *(b for _, b in blanks)]
     ends = [*(a for a, _ in blanks), last]
-    thai = any("฀" <= c <= "๿" for c in text)
+    thai = _THAI_SIGN.search(text) is not None
     for number, (low, high) in enumerate(zip(lows, ends)):
         previous_end, previous_gap, chain, marks = -1, -1, "", 0
         tail = None
@@ -189,7 +191,7 @@ def scan(text: str) -> list[tuple]:
             following = stop
             while following < high and text[following].isspace():
                 following += 1
-            word = re.sub(r"[0-9]+", "0", raw.lower())
+            word = _DIGITS.sub("0", raw.lower())
             strong = any(c in "!?؟。！？।॥۔｡|" for c in mark)
             ellipsis = not strong and (len(mark) > 1 or "…" in mark)
             sort = STRONG if strong else ELLIPSIS if ellipsis else PERIOD
@@ -241,7 +243,7 @@ def _bare_gaps(text: str, low: int, high: int) -> list[tuple]:
             key, p0 = text[a - 1] + ".", _BARE_WIDE if a < b else _BARE
         else:
             run = _RUN_BEFORE.match(text, before, a)
-            key, p0 = re.sub(r"[0-9]+", "0", run[0].lower() if run else "") + ".", _BARE
+            key, p0 = _DIGITS.sub("0", run[0].lower() if run else "") + ".", _BARE
         word, c = _next_word(text, b)
         if c not in _NEVER_BEFORE:
             out.append(("open", a, a, b, _hash(key), _hash(word), p0, FORMS * BARE + OTHER, FRESH if not out else _distance(text, out[-1][3], a), None))
@@ -251,7 +253,7 @@ def _bare_gaps(text: str, low: int, high: int) -> list[tuple]:
 
 def _place(text: str, since: int, start: int, before: int) -> tuple[int, int]:
     """Hash of what stands between the gap before and the mark, digits alike, and the place: with the stretch before that one it tells copied passages from independent ones."""
-    here = _hash(re.sub(r"[0-9]+", "0", " ".join(text[since:start].split())))
+    here = _hash(_DIGITS.sub("0", " ".join(text[since:start].split())))
     return here, (here ^ before * 31) & 0x7FFFFFFF
 
 
@@ -261,21 +263,27 @@ def _next_word(text: str, at: int) -> tuple[str, str]:
     if not m:
         return "", " "
     w = m[2]
-    w = w[:2] if _CASELESS_WIDE.match(w) else re.sub(r"[0-9]+", "0", w)
+    w = w[:2] if _CASELESS_WIDE.match(w) else _DIGITS.sub("0", w)
     return ("<" if m[1] else "") + w, (m[1] or m[2])[0] if m[1] and m[1][0] in "¿¡" else m[2][0]
 
 
 def gaps(docs: DataFrame) -> DataFrame:
     schema = _SCHEMA.format(dict(docs.dtypes)["doc_id"])
-    names = [c.split()[0] for c in schema.split(", ")]
-    whole = {c.split()[0]: "Int64" if c.split()[1] == "long" else "Int32" for c in schema.split(", ")[2:] if c.split()[1] in ("long", "int")}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    fields = [c.split() for c in schema.split(", ")][1:]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, *row) for i, text in zip(pdf["doc_id"], pdf["text"]) if isinstance(text, str) for row in scan(text)]
-            yield pd.DataFrame(rows, columns=names).astype(whole)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], []
+            for text in batch.column(1).to_pylist():
+                found = scan(text)
+                rows += found
+                size.append(len(found))
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size), pa.int64()))
+            columns = list(zip(*rows)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields))], names=["doc_id", *(n for n, _ in fields)])
 
-    return spread(docs.select("doc_id", "text").filter("text is not null")).mapInPandas(run, schema)
+    return spread(docs.select("doc_id", "text").filter("text is not null")).mapInArrow(run, schema)
 
 
 #: Boundaries that may be sentence ends part the word n-grams; what is left between two of them is inside for sure.
@@ -297,15 +305,20 @@ def _batch_grams(texts: list[str]) -> pd.DataFrame:
     part = np.array([w == "\x01" for w in words])
     after = np.append(ids[2:], -1)  # the sign after the next word: wide words are two signs
     pair = wide[ids[1:]] & (after >= 0) & wide[after]
-    code = np.stack([ids[:-1], ids[1:], np.where(pair, after, -1)], axis=1)[~part[ids[:-1]] & ~part[ids[1:]]]
-    found, n = np.unique(code, axis=0, return_counts=True)
-    before = {k: _hash(re.sub(r"[0-9]+", "0", words[k].lower()) + ".") for k in np.unique(found[:, 0]).tolist()}
-    plain = {k: re.sub(r"[0-9]+", "0", words[k]) for k in np.unique(found[:, 1:]).tolist() if k >= 0}
-    word = [_hash(plain[b] + (plain[c] if c >= 0 else "")) for _, b, c in found.tolist()]
-    return pd.DataFrame({"key": [before[k] for k in found[:, 0].tolist()], "word": word, "n": n})
-
-
-def grams(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    inside = ~part[ids[:-1]] & ~part[ids[1:]]
+    width = len(words) + 1
+    code = ((ids[:-1] * width + ids[1:]) * width + np.where(pair, after, len(words)))[inside]  # fits 64 bits up to two million words a batch
+    found, n = np.unique(code, return_counts=True)
+    first, second, third = found // width // width, found // width % width, found % width
+    plain = [_DIGITS.sub("0", w) for w in words]
+    before = np.array([_hash(w.lower() + ".") for w in plain], dtype=np.int64)
+    word = np.array([_hash(w) for w in plain], dtype=np.int64)[second]
+    for k in np.flatnonzero(third < len(words)).tolist():
+        word[k] = _hash(plain[second[k]] + plain[third[k]])
+    return pd.DataFrame({"key": before[first], "word": word, "n": n})
+
+
+def grams(docs: DataFrame, wanted: DataFrame, space: Workspace) -> DataFrame:
     """(key, word, n) over the words of all documents, for the pairs and words before that ``wanted`` (key, word) asks for; word null sums a key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,7 +326,7 @@ def grams(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield _batch_grams([t for t in pdf["text"] if t])
 
     found = spread(docs.select("text").filter("text is not null")).mapInPandas(run, "key long, word long, n long")
-    asked = found.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key", "word").agg(F.sum("n").alias("n"))
+    asked = space.cut(found.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key", "word").agg(F.sum("n").alias("n")), "asked")
     keys = asked.groupBy("key").agg(F.sum("n").alias("n_before"))
     return wanted.join(asked, ["key", "word"], "left").join(keys, "key", "left").select("key", "word", F.coalesce("n", F.lit(0)).alias("n_inner"), F.coalesce("n_before", F.lit(0)).alias("n_before"))
 
@@ -353,7 +366,7 @@ def fit(docs: DataFrame, found: DataFrame, space: Workspace, steps: int = EM_STE
     rows = join_hot(opened.filter(f"form < {bare}"), sized, "key", "n", stored=True)
     # gaps without a mark: how often the word before ends sentences elsewhere, against how often it goes on
     loose = opened.filter(f"form >= {bare}")
-    inner = space.cut(grams(docs, loose.select("key", "word").distinct()), "grams")
+    inner = space.cut(grams(docs, loose.select("key", "word").distinct(), space), "grams")
     ends = found.filter(f"key is not null and (form is null or form < {bare})").join(loose.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n_ends"))
     known = inner.join(ends, "key", "left").na.fill(0, ["n_ends"])
     loose = loose.join(known, ["key", "word"])
