@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from hazardloom.llm import leaks, mixing, personal, sentences
@@ -149,6 +150,48 @@ def test_sentences(spark):
     assert units(spark, []) == {}
 
 
+def test_posteriors_by_brute_force():
+    """Forward-backward over documents of any size against the sum over all event sequences."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([3, 0, 1, 5, 2, 0])
+    n = int(sizes.sum())
+    score, distance = rng.normal(size=n) * 2, rng.integers(0, sentences.DISTANCES, n)
+    chain = rng.normal(size=(2, sentences.DISTANCES))
+    post, tells = sentences.forward_backward(score, distance, sizes, chain)
+    at = 0
+    for size in sizes.tolist():
+        total, yes, told = 0.0, np.zeros(size), np.zeros((size, 4))
+        for events in itertools.product((0, 1), repeat=size):
+            w = np.exp(sum(e * (score[at + k] + (chain[events[k - 1], distance[at + k]] if k else 0.0)) for k, e in enumerate(events)))
+            total += w
+            yes += w * np.array(events)
+            for k in range(1, size):
+                told[k, 2 * events[k - 1]] += w * events[k]
+                told[k, 2 * events[k - 1] + 1] += w
+        assert np.allclose(post[at : at + size], yes / total) and np.allclose(tells[at : at + size], told / total)
+        at += size
+
+
+def test_unpunctuated_text(spark):
+    """What is learnt from texts with marks parts a text without any; short headings stay whole."""
+    openings = ["The pump was closed", "The crew left the site", "Nobody was hurt", "Workers checked the valve", "Later the gauge was read"]
+    rng = random.Random(4)
+    base = [" ".join(f"{s}." for s in rng.sample(openings, 5)) + "\n\n" + rng.choice(openings) + "." for _ in range(400)]
+    bare = " ".join(openings + openings[:3])
+    got = units(spark, base + [bare, "Report of the night shift", "A" * 400, "word " * 20])
+    assert got[400] == openings + openings[:3] and got[401] == ["Report of the night shift"] and got[402] == ["A" * 400] and len(got[403]) == 1
+
+
+def test_words_and_places_of_any_length():
+    long = "x" * 5000
+    rows = sentences.scan(f"{long}. {long}y. Then it began.")
+    other = sentences.scan(f"{long}. {long}z. Then it began.")
+    assert rows[1][4] == other[1][4] and rows[1][5] != other[1][5] and rows[2][4] != other[2][4]
+    assert len(sentences.scan("a." * 100_000)) >= 1
+
+
 def test_long_text(spark):
     text = "The pump was closed. " * 30_000
     assert len(units(spark, [text])[0]) == 30_000
