@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hazardloom.functions import fixed_values as V
 from hazardloom.functions import text as X
 from hazardloom.plans import ingestion, texts
 from hazardloom.plans.monitoring import EV, _metrics, _metrics_sql, evaluation
-from hazardloom.plans.views import Registry, classifications, ctes, decisions, reports, triples
+from hazardloom.plans.views import Registry, classifications, ctes, decisions, reports, reports_of, triples
 from hazardloom.storage import Workspace, table
 
 REG = Registry()
@@ -150,11 +151,12 @@ def _(spark, d):
     return near.withColumn("k", F.row_number().over(W.partitionBy("report_type").orderBy("reported_at", "id"))).filter("k <= 15").select("id", "report_type")
 
 
-@REG.add("x22_challenge_votes", R + f"SELECT id, CAST({texts._hit('explosion|fatality|line of fire|confined space|dropped object|fall from|high pressure|rupture')} AS INT) + CAST({texts._hit('almost|nearly|could have|potential|no injury|close call')} AS INT) AS pos, CAST({texts._hit('housekeeping|slippery|hard hat|signage|documentation')} AND NOT {texts._hit('explosion|fatality|line of fire|confined space|dropped object|fall from|high pressure|rupture')} AS INT) AS neg FROM r")
+@REG.add("x22_challenge_votes", R + f"SELECT id, CAST({texts._named(V.DIRECT_CUES)} AS INT) + CAST({texts._named(V.INDIRECT_CUES)} AS INT) AS pos, CAST({texts._named(V.ROUTINE_CUES)} AND NOT {texts._named(V.DIRECT_CUES)} AS INT) AS neg FROM r")
 def _(spark, d):
     t = F.col("raw_text")
-    direct = X.hits(t, "explosion|fatality|line of fire|confined space|dropped object|fall from|high pressure|rupture")
-    return reports(spark, d).select("id", (direct.cast("int") + X.hits(t, "almost|nearly|could have|potential|no injury|close call").cast("int")).alias("pos"), (X.hits(t, "housekeeping|slippery|hard hat|signage|documentation") & ~direct).cast("int").alias("neg"))
+    direct = X.named(t, V.DIRECT_CUES)
+    pos = direct.cast("int") + X.named(t, V.INDIRECT_CUES).cast("int")
+    return reports_of(spark, d, pos.alias("pos"), (X.named(t, V.ROUTINE_CUES) & ~direct).cast("int").alias("neg"))
 
 
 def _fitted(train, share: float):

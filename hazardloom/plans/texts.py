@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hazardloom.functions import fixed_values as V
+from hazardloom.functions import pipeline as P
 from hazardloom.functions import text as X
 from hazardloom.functions.negation import suppressed
-from hazardloom.plans.views import Registry, ctes, reports
+from hazardloom.plans.views import Registry, ctes, reports, reports_of
 from hazardloom.storage import spread, table
 
 REG = Registry()
@@ -30,7 +32,7 @@ def norm_sql(c: str) -> str:
 
 @REG.add("x01_clean_text", R + r"SELECT id, trim(regexp_replace(regexp_replace(raw_text, '[\r\n\t]+', ' ', 'g'), '\s{2,}', ' ', 'g')) AS cleaned FROM r")
 def _(spark, d):
-    return reports(spark, d).select("id", X.clean_text(F.col("raw_text")).alias("cleaned"))
+    return reports_of(spark, d, X.clean_text(F.col("raw_text")).alias("cleaned"))
 
 
 @REG.add("x02_null_tokens", "SELECT CASE WHEN lower(trim(group_id)) IN ('', 'null', 'none', 'nan', 'unknown', 'n/a') THEN NULL ELSE trim(group_id) END AS group_id, count(*) AS n FROM incident_records GROUP BY 1")
@@ -40,17 +42,17 @@ def _(spark, d):
 
 @REG.add("x03_normalise", R + f"SELECT id, {norm_sql('raw_text')} AS norm FROM r")
 def _(spark, d):
-    return reports(spark, d).select("id", X.normalise(F.col("raw_text")).alias("norm"))
+    return reports_of(spark, d, X.normalise(F.col("raw_text")).alias("norm"))
 
 
 @REG.add("x04_text_hash", R + f"SELECT id, substring(sha256({norm_sql('raw_text')}), 1, 16) AS text_hash FROM r")
 def _(spark, d):
-    return reports(spark, d).select("id", X.text_hash(X.normalise(F.col("raw_text"))).alias("text_hash"))
+    return reports_of(spark, d, X.text_hash(X.normalise(F.col("raw_text"))).alias("text_hash"))
 
 
 @REG.add("x05_token_set", R + f"SELECT id, len(list_distinct(list_filter(string_split({norm_sql('raw_text')}, ' '), lambda x: x <> ''))) AS n_tokens FROM r")
 def _(spark, d):
-    return reports(spark, d).select("id", F.size(X.tokens(X.normalise(F.col("raw_text")))).alias("n_tokens").cast("long"))
+    return reports_of(spark, d, F.size(X.tokens(X.normalise(F.col("raw_text")))).cast("long").alias("n_tokens"))
 
 
 def _spelling_sql(c: str) -> str:
@@ -65,7 +67,7 @@ def _spelling_sql(c: str) -> str:
 @REG.add("x06_correct_spelling", R + f"SELECT id, {_spelling_sql(_q('Sefty first: ') + ' || raw_text || ' + _q(' PRESURE isolaton'))} AS corrected FROM r")
 def _(spark, d):
     text = F.concat(F.lit("Sefty first: "), F.col("raw_text"), F.lit(" PRESURE isolaton"))
-    return reports(spark, d).select("id", X.correct_spelling(text).alias("corrected"))
+    return reports_of(spark, d, X.correct_spelling(text).alias("corrected"))
 
 
 def _abbreviation_sql(c: str) -> str:
@@ -77,13 +79,13 @@ def _abbreviation_sql(c: str) -> str:
 
 @REG.add("x07_expand_abbreviations", R + f"SELECT id, {_abbreviation_sql(_q('PTW and JSA: ') + ' || raw_text')} AS expanded FROM r")
 def _(spark, d):
-    return reports(spark, d).select("id", X.expand_abbreviations(F.concat(F.lit("PTW and JSA: "), F.col("raw_text"))).alias("expanded"))
+    return reports_of(spark, d, X.expand_abbreviations(F.concat(F.lit("PTW and JSA: "), F.col("raw_text"))).alias("expanded"))
 
 
 @REG.add("x08_contact_counts", R + r"SELECT id, len(regexp_extract_all(raw_text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n_mail, len(regexp_extract_all(raw_text, '[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}')) AS n_phone FROM r")
 def _(spark, d):
     n = lambda p: F.regexp_count("raw_text", F.lit(p)).cast("long")
-    return reports(spark, d).select("id", n(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("n_mail"), n(r"[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}").alias("n_phone"))
+    return reports_of(spark, d, n(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("n_mail"), n(r"[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}").alias("n_phone"))
 
 
 @REG.add("x11_script", "SELECT doc_id, len(regexp_extract_all(text, '[ऀ-ॿ]')) AS devanagari, len(regexp_extract_all(text, '[ঀ-৿]')) AS bengali, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, CASE WHEN len(regexp_extract_all(text, '[ऀ-ॿ]')) + len(regexp_extract_all(text, '[ঀ-৿]')) > len(regexp_extract_all(text, '[A-Za-z]')) THEN CASE WHEN len(regexp_extract_all(text, '[ऀ-ॿ]')) >= len(regexp_extract_all(text, '[ঀ-৿]')) THEN 'devanagari' ELSE 'bengali' END ELSE 'other' END AS unsupported FROM documents")
@@ -100,33 +102,37 @@ _HAZARD, _NEGATOR = "leak|release|fire|explosion|contact|exposure|fall|injur|hur
 def _(spark, d):
     """Clauses in which a negation stands within 48 characters before a hazard."""
     clauses = F.split(F.lower("raw_text"), r"[.;,!?\n]+")
-    return reports(spark, d).select("id", F.size(F.filter(clauses, lambda x: x.rlike(f"(^|[^a-z])({_NEGATOR})[^a-z].{{0,48}}({_HAZARD})"))).cast("long").alias("n_negated"))
+    return reports_of(spark, d, F.size(F.filter(clauses, lambda x: x.rlike(f"(^|[^a-z])({_NEGATOR})[^a-z].{{0,48}}({_HAZARD})"))).cast("long").alias("n_negated"))
 
 
 @REG.add("x12_suppressed_text")
 def _(spark, d):
     """Narratives without negated hazard clauses, with those clauses and the method; x12_negated_hazards only counts, on marks alone."""
-    return spread(reports(spark, d).select("id", "raw_text")).select("id", suppressed(F.col("raw_text")).alias("s")).select("id", "s.*")
+    return spread(reports_of(spark, d, "raw_text")).select("id", suppressed(F.col("raw_text")).alias("s")).select("id", "s.*")
 
 
-@REG.add("x15_features", R + "SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_hit(w)} THEN '{k}' END" for k, w in X.ENERGY.items()) + f"], lambda x: x IS NOT NULL), ',') AS energy_types, {_hit(X.PROXIMITY)} AS proximity, {_hit(X.BARRIER)} AS barrier_failure FROM r")
+def _named(*patterns: str, c: str = "raw_text") -> str:
+    return f"regexp_matches({c}, {_q('(?i)' + '|'.join(f'(?:{p})' for p in patterns))})"
+
+
+@REG.add("x15_features", R + "SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_named(*p)} THEN '{k}' END" for k, p in V.ENERGY_PATTERNS.items()) + f"], lambda x: x IS NOT NULL), ',') AS energy_types, {_named(*V.PROXIMITY_PATTERNS)} AS proximity, {_named(*V.BARRIER_FAILURE_PATTERNS)} AS barrier_failure FROM r")
 def _(spark, d):
     t = F.col("raw_text")
-    return reports(spark, d).select("id", F.array_join(X.energy_types(t), ",").alias("energy_types"), X.hits(t, X.PROXIMITY).alias("proximity"), X.hits(t, X.BARRIER).alias("barrier_failure"))
+    return reports_of(spark, d, X.energy_types(t).alias("e"), X.named(t, *V.PROXIMITY_PATTERNS).alias("proximity"), X.named(t, *V.BARRIER_FAILURE_PATTERNS).alias("barrier_failure")).select("id", F.array_join("e", ",").alias("energy_types"), "proximity", "barrier_failure")
 
 
 def _votes_sql() -> str:
-    energy = "(" + " OR ".join(_hit(w) for w in X.ENERGY.values()) + ")"
-    high = "(" + " OR ".join(_hit(X.ENERGY[k]) for k in ("electrical", "pressure", "chemical", "gravity", "thermal")) + ")"
-    pos = [high, f"({energy} AND {_hit(X.PROXIMITY)})", f"({energy} AND {_hit(X.BARRIER)})", _hit("fall from|no harness|dropped object|working at height|incomplete scaffold"), _hit("confined space|hydrogen sulphide|hydrogen sulfide|no gas test|toxic atmosphere"), _hit("suspended load|under the load|crane|sling failure")]
-    neg = f"({_hit(X.ROUTINE)} AND NOT {energy} AND NOT {_hit(X.BARRIER)})"
+    energy = _named(*(p for patterns in V.ENERGY_PATTERNS.values() for p in patterns))
+    high, failed = _named(*(p for k in V.HIGH_ENERGY for p in V.ENERGY_PATTERNS[k])), _named(*V.BARRIER_FAILURE_PATTERNS)
+    pos = [high, f"({energy} AND {_named(*V.PROXIMITY_PATTERNS)})", f"({energy} AND {failed})", _named(V.HEIGHT), _named(V.CONFINED), _named(V.LIFTING)]
+    neg = f"({_named(V.ROUTINE_NOISE)} AND NOT {energy} AND NOT {failed})"
     return f"SELECT id, {' + '.join(f'CAST({p} AS INT)' for p in pos)} AS pos, CAST({neg} AS INT) AS neg FROM r"
 
 
 @REG.add("a33_weak_labels", R + ", x AS (" + _votes_sql() + ") SELECT id, pos AS positive_votes, CASE WHEN pos > neg THEN 1 WHEN neg > pos THEN -1 ELSE 0 END AS weak_label, round(CASE WHEN pos = 0 AND neg = 0 THEN 0.35 WHEN pos > neg THEN least(0.95, 0.5 + 0.1 * pos) WHEN neg > pos THEN least(0.9, 0.55 + 0.1 * neg) ELSE 0.5 END, 4)::DOUBLE AS confidence FROM x")
 def _(spark, d):
     pos, label, sure = X.vote_label(list(X.weak_votes(F.col("raw_text")).values()))
-    return reports(spark, d).select("id", pos.alias("positive_votes"), label.alias("weak_label"), F.round(sure, 4).alias("confidence"))
+    return reports_of(spark, d, pos.alias("positive_votes"), label.alias("weak_label"), F.round(sure, 4).alias("confidence"))
 
 
 _RULE_ROWS = ", ".join(f"('{r}', {_q(n)})" for r, (n, _) in X.RULES.items())
@@ -134,7 +140,7 @@ _TAGS = "tags AS (" + " UNION ALL ".join(f"SELECT id, '{r}' AS rule_id, " + " +
 
 
 def _tags(spark, d):
-    return reports(spark, d).select("id", F.explode(X.rule_tags(F.col("raw_text"))).alias("t")).select("id", "t.*")
+    return reports_of(spark, d, X.rule_tags(F.col("raw_text")).alias("tags")).select("id", F.explode("tags").alias("t")).select("id", "t.*")
 
 
 @REG.add("t05_rule_tags", R + f", {_TAGS} SELECT id, rule_id, hits, round(0.62 + least(0.22, 0.07 * hits), 4)::DOUBLE AS confidence FROM tags WHERE hits > 0")
@@ -155,7 +161,7 @@ def _(spark, d):
 def _(spark, d):
     """Tags of a report by falling confidence, then id, ordered inside the row."""
     order = F.sort_array(F.transform(X.rule_tags(F.col("raw_text")), lambda t: F.struct((-t["confidence"]).alias("c"), t["rule_id"].alias("r"))))
-    return reports(spark, d).select("id", F.array_join(F.transform(order, lambda t: t["r"]), ",").alias("tags")).filter("tags != ''")
+    return reports_of(spark, d, F.array_join(F.transform(order, lambda t: t["r"]), ",").alias("tags")).filter("tags != ''")
 
 
 #: The source labels' spellings of the rules.
@@ -177,28 +183,28 @@ def _(spark, d):
     return k.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
 
 
-_PLACES = ("sump pit", "rig floor", "pump shed", "valve pit", "tank dike", "pipe rack", "loading bay", "cellar deck", "mud tank area", "compressor house", "workshop", "jetty head")
+_EQUIPMENT = "CASE WHEN lower(trim(equipment_type)) NOT IN ('general', 'unspecified', 'none', 'n/a', 'unknown') AND trim(equipment_type) <> '' THEN equipment_type END"
+
+
+def _place_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_named(*p, c=c)} THEN '{name}'" for name, p in V.LOCATIONS) + " END"
 
 
-@REG.add("x18_location", R + "SELECT id, CASE " + " ".join(f"WHEN {_hit(p)} THEN '{p}'" for p in _PLACES) + " ELSE lower(trim(equipment_type)) END AS location_asset FROM r")
+@REG.add("x18_location", R + f"SELECT id, coalesce({_place_sql('raw_text')}, {_place_sql('(' + _EQUIPMENT + ')')}) AS location_asset FROM r")
 def _(spark, d):
-    """First matching place, else the equipment, never an invented one."""
-    found = None
-    for p in _PLACES:
-        cond = X.hits(F.col("raw_text"), p)
-        found = F.when(cond, p) if found is None else found.when(cond, p)
-    return reports(spark, d).select("id", found.otherwise(F.lower(F.trim("equipment_type"))).alias("location_asset"))
+    """A place that the text or the equipment names, never an invented one."""
+    return reports_of(spark, d, P.location(F.col("raw_text"), F.col("equipment_type")).alias("location_asset"))
 
 
 @REG.add("x20_evidence", R + r"SELECT id, trim(regexp_extract(lower(raw_text), '[^.]*(?:pressure|suspended load|line of fire|flammable)[^.]*\.?')) AS evidence FROM r")
 def _(spark, d):
     """The stretch between full stops around the first hazard."""
-    return reports(spark, d).select("id", F.trim(F.regexp_extract(F.lower("raw_text"), r"[^.]*(?:pressure|suspended load|line of fire|flammable)[^.]*\.?", 0)).alias("evidence"))
+    return reports_of(spark, d, F.trim(F.regexp_extract(F.lower("raw_text"), r"[^.]*(?:pressure|suspended load|line of fire|flammable)[^.]*\.?", 0)).alias("evidence"))
 
 
 @REG.add("x21_sentence_split", R + r"SELECT id, len(list_filter(regexp_split_to_array(regexp_replace(raw_text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x) <> '')) AS n_sentences FROM r")
 def _(spark, d):
-    return reports(spark, d).select("id", F.size(X.initial_sentences(F.col("raw_text"))).cast("long").alias("n_sentences"))
+    return reports_of(spark, d, F.size(X.initial_sentences(F.col("raw_text"))).cast("long").alias("n_sentences"))
 
 
 _CRITICAL = {"interlock": 1.0, "isolation": 0.95, "relief": 0.9, "permit": 0.8, "gas test": 0.8, "guard": 0.7, "alarm": 0.6, "checklist": 0.4}
@@ -208,7 +214,7 @@ _CRITICAL = {"interlock": 1.0, "isolation": 0.95, "relief": 0.9, "permit": 0.8,
 def _(spark, d):
     """Highest score of the keywords contained, .5 where none is, 0 without text."""
     best = F.greatest(*(F.when(F.lower("raw_text").contains(k), F.lit(v)) for k, v in _CRITICAL.items()))
-    return reports(spark, d).select("id", F.when(F.trim("raw_text") == "", 0.0).otherwise(F.coalesce(best, F.lit(0.5))).alias("score"))
+    return reports_of(spark, d, F.when(F.trim("raw_text") == "", 0.0).otherwise(F.coalesce(best, F.lit(0.5))).alias("score"))
 
 
 @REG.add("x26_group_keys", "SELECT lower(trim(group_id)) AS gid, 'psc-' || substring(sha256(string_agg(DISTINCT id, '|' ORDER BY id)), 1, 16) AS group_key FROM incident_records WHERE lower(trim(group_id)) NOT IN ('', 'null', 'none', 'nan', 'unknown', 'n/a') GROUP BY 1")

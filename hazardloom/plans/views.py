@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -48,6 +48,14 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reports").withColumn("__k", newest).filter("__k = 1").drop("__k")
 
 
+def reports_of(spark: SparkSession, d: str, *values: Column | str) -> DataFrame:
+    """id and some values of the latest delivery per id, for values made from texts: they are made first, so only
+    they, not the texts, go into the shuffle; the few repeated deliveries cost their computation twice."""
+    values = [F.col(v) if isinstance(v, str) else v for v in values]
+    made = table(spark, d, "reports").select("id", "ingested_at", F.struct(*values).alias("v"))
+    return made.groupBy("id").agg(F.max_by("v", "ingested_at").alias("v")).select("id", "v.*")
+
+
 def decisions(spark: SparkSession, d: str) -> DataFrame:
     """Each decision once: repeats are exact, so the id is enough and unread columns are pruned."""
     return table(spark, d, "analyst_decisions").dropDuplicates(["id"])
