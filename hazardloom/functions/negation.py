@@ -1,7 +1,8 @@
 """Suppression of negated hazards: clauses that deny an event are taken out, missing controls stay as evidence.
 
 A clause goes if a negator stands within 48 characters before a hazard, unless a protected control phrase ('no permit',
-'without harness') stands there or covers the hazard. The 48 characters are looked at by themselves, so this is Python
+'without harness') stands there or covers the hazard; so does one whose hazard is said not to have taken place ('the
+lift was not performed'). The 48 characters are looked at by themselves, so this is Python
 in Arrow batches: a pattern over the whole clause can't say that.
 """
 
@@ -24,12 +25,23 @@ _PROTECTED = re.compile(r"\b(?:no|without)\s+(?:a\s+)?(?:permit|ptw|harness|gas\
 _REACH = 48
 
 
-def _negated(clause: str) -> bool:
-    kept = [m.span() for m in _PROTECTED.finditer(clause)]
-    for hazard in _HAZARD.finditer(clause):
-        at = hazard.start()
-        before = clause[max(0, at - _REACH) : at]
-        if _NEGATOR.search(before) and not _PROTECTED.search(before) and not any(a <= at < b for a, b in kept):
+#: A hazard that is itself what did not take place.
+_NOT_DONE = re.compile(_HAZARD.pattern + r"\s+(?:was|were|is|are|(?:has|have|had)\s+been)\s+(?:not|never)\s+(?:performed|done|made|started|carried\s+out|observed|reported|recorded|noted|found|seen|present)\b", re.IGNORECASE)
+
+
+def _spans(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in pattern.finditer(text)]
+
+
+def _denied(clause: str) -> bool:
+    """Whether a hazard of the clause has a negator within reach before it, or is said not to have taken place."""
+    controls = _spans(_PROTECTED, clause)
+    if not controls and _NOT_DONE.search(clause):
+        return True
+    negators = _spans(_NEGATOR, clause)
+    for at, _ in _spans(_HAZARD, clause) if negators else ():
+        reach = lambda a, b: at - _REACH <= a and b <= at  # noqa: B023, E731
+        if any(reach(a, b) for a, b in negators) and not any(reach(a, b) or a <= at < b for a, b in controls):
             return True
     return False
 
@@ -41,7 +53,7 @@ def suppress(text: str | None) -> tuple[str | None, list[str], str]:
     left, gone = [], []
     for sentence in _SENTENCE.split(text):
         for clause in _CLAUSE.split(sentence):
-            if clause and _negated(clause):
+            if clause and _denied(clause):
                 if phrase := " ".join(clause.split()).strip(" ,;"):
                     gone.append(phrase)
             elif clause:
