@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazardloom.operators.skew import join_hot
 from hazardloom.storage import Workspace
 
 
@@ -19,8 +20,9 @@ def jaccard_pairs(sets: DataFrame, threshold: float, space: Workspace, least_tok
     """``sets``: (id, tokens array without repeats), each set once. (a, b, similarity) with a < b and similarity >= threshold."""
     big = sets.filter(F.size("tokens") >= least_tokens).select("id", "tokens", F.size("tokens").alias("n"))
     words = big.select("id", "n", F.explode("tokens").alias("w"))
-    freq = words.groupBy("w").agg(F.count("*").alias("f"))
-    ranked = words.join(freq, "w").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("s"))  # one set per row
+    # a word that stands in every text is a hot key: its frequency is told with salts
+    freq = space.cut(words.groupBy("w").agg(F.count("*").alias("f"), F.count("*").alias("rows")), "frequencies")
+    ranked = join_hot(words, freq, "w", "rows", stored=True).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("s"))  # one set per row
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
     bits = (F.expr(f"aggregate(s, 0L, (m, x) -> if(pmod(xxhash64(x.w), 128) div 64 = {k}, m ^ shiftleft(1L, cast(pmod(xxhash64(x.w), 64) as int)), m))").alias(f"m{k}") for k in (0, 1))
     marked = ranked.select("id", "n", "s", *bits)

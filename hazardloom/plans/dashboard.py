@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hazardloom.plans.views import Registry, classifications, ctes, decisions, reports, reviews, triples
+from hazardloom.plans.views import Registry, classifications, ctes, decisions, reports, reports_of, reviews, triples
 from hazardloom.storage import table
 
 REG = Registry()
@@ -175,7 +175,8 @@ def _(spark, d):
     excerpt = F.when(F.length("raw_text") > 180, F.concat(F.substring("raw_text", 1, 180), F.lit("…"))).otherwise(F.col("raw_text"))
     last = decisions(spark, d).groupBy(F.col("report_id").alias("id")).agg(F.max_by("review_action", F.struct("reviewed_at", "id")).alias("review_action"))
     pattern = triples(spark, d).select(F.col("report_id").alias("id"), F.concat_ws(" | ", "activity", "location_asset", "barrier_failure").alias("pattern"))
-    return reports(spark, d).join(pattern, "id", "left").join(last, "id", "left").select("id", excerpt.alias("excerpt"), "pattern", F.coalesce("review_action", F.lit("NONE")).alias("last_action"), F.coalesce("validated_label", "human_label").alias("label"))
+    made = reports_of(spark, d, excerpt.alias("excerpt"), "validated_label", "human_label")
+    return made.join(pattern, "id", "left").join(last, "id", "left").select("id", "excerpt", "pattern", F.coalesce("review_action", F.lit("NONE")).alias("last_action"), F.coalesce("validated_label", "human_label").alias("label"))
 
 
 @REG.add("f08_report_detail", ctes("r", "d") + "SELECT r.id, count(d.id) AS n_decisions, coalesce(string_agg(d.review_action || ':' || d.analyst_id, ',' ORDER BY d.reviewed_at, d.id), '') AS history FROM r LEFT JOIN d ON d.report_id = r.id GROUP BY r.id")

@@ -159,11 +159,11 @@ def _(spark, d):
     return incidents(spark, d).select(F.col("report_id").alias("source_report_id"), F.coalesce("site", F.lit("Unknown site")).alias("site_name"), kind.alias("report_type"), F.col("description").alias("raw_text"), F.col("incident_date").alias("reported_at"))
 
 
-@REG.add("f16_upload_validation", "WITH x AS (SELECT row_number() OVER (ORDER BY id, ingested_at) AS row_no, id, raw_text, site_id, reported_at FROM reports), f AS (SELECT id, min(row_no) AS first_no FROM x GROUP BY 1), y AS (SELECT x.*, f.first_no FROM x JOIN f USING (id)) SELECT count(*) AS n, count(*) FILTER (row_no > first_no) AS duplicate_id, count(*) FILTER (length(trim(raw_text)) < 10) AS short_text, count(*) FILTER (site_id IS NULL) AS missing_site FROM y")
+@REG.add("f16_upload_validation", "WITH x AS (SELECT row_number() OVER (ORDER BY id, ingested_at) AS row_no, id, raw_text, site_id, reported_at FROM reports), f AS (SELECT id, min(row_no) AS first_no FROM x GROUP BY 1), y AS (SELECT x.*, f.first_no FROM x JOIN f USING (id)) SELECT count(*) AS n, count(*) FILTER (row_no > first_no OR id IN (SELECT report_id FROM analyst_decisions)) AS duplicate_id, count(*) FILTER (length(trim(raw_text)) < 10) AS short_text, count(*) FILTER (site_id IS NULL) AS missing_site FROM y")
 def _(spark, d):
-    """Issues of uploaded rows: text, site, date and ids that came before."""
+    """Issues of uploaded rows: text, site, date and ids that came before, in the upload or among those already reviewed."""
     rows = table(spark, d, "reports").select(F.struct("id", "ingested_at").alias("row_no"), F.col("id").alias("source_report_id"), "raw_text", F.col("site_id").alias("site_name"), F.col("reported_at").cast("string").alias("reported_at"))
-    known = rows.select("source_report_id").limit(0)
+    known = table(spark, d, "analyst_decisions").select(F.col("report_id").alias("source_report_id"))
     got = readers.upload_issues(rows, known)
     has = lambda x: F.count_if(F.array_contains("issues", x)).alias(x)
     return got.agg(F.count("*").alias("n"), has("duplicate_id"), has("short_text"), has("missing_site"))
@@ -198,8 +198,9 @@ def _(spark, d):
 
 
 def _text_sets(spark, d) -> DataFrame:
-    t = table(spark, d, "incident_records").filter("norm_text != ''").groupBy("norm_text").agg(F.min("id").alias("id"))
-    return t.select("id", X.tokens(F.col("norm_text")).alias("tokens"))
+    """One set per text, told apart by the hash of the whole text; a text that many records share is one row before the shuffle."""
+    t = table(spark, d, "incident_records").filter("norm_text != ''").select("id", F.sha2("norm_text", 256).alias("h"), X.tokens(F.col("norm_text")).alias("tokens"))
+    return t.groupBy("h").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens")).select("id", "tokens")
 
 
 _NEAR_SQL = "WITH t AS (SELECT min(id) AS id, list_distinct(list_filter(string_split(norm_text, ' '), lambda x: x <> '')) AS w FROM incident_records WHERE norm_text <> '' GROUP BY norm_text), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS na, len(b.w) AS nb FROM t a JOIN t b ON a.id < b.id AND len(a.w) >= 6 AND len(b.w) >= 6 AND len(a.w) >= 0.85 * len(b.w) AND len(b.w) >= 0.85 * len(a.w))"
@@ -211,13 +212,17 @@ def _(spark, d):
     return jaccard_pairs(_text_sets(spark, d), 0.85, Workspace(spark, "j10"), least_tokens=6).withColumn("similarity", F.round("similarity", 6))
 
 
-@REG.add("t13_duplicate_groups")
+_GROUPS = ", n AS (SELECT a, b FROM p WHERE c / (na + nb - c) >= 0.85), x AS (SELECT DISTINCT id, norm_text FROM incident_records WHERE norm_text <> ''), m AS (SELECT id AS a, min(id) OVER (PARTITION BY norm_text) AS b FROM x), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n UNION SELECT a, b FROM m WHERE a <> b UNION SELECT b, a FROM m WHERE a <> b), w(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id WHERE w.root < e.b)"
+
+
+@REG.add("t13_duplicate_groups", _NEAR_SQL.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + _GROUPS + " SELECT id, min(root) AS group_root FROM w GROUP BY 1")
 def _(spark, d):
     """(id, group_root) over exact copies and near pairs: connected components of both."""
     space = Workspace(spark, "t13")
     near = jaccard_pairs(_text_sets(spark, d), 0.85, space, least_tokens=6).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    x = table(spark, d, "incident_records").filter("norm_text != ''").select("id", "norm_text").distinct()
-    exact = x.join(x.groupBy("norm_text").agg(F.min("id").alias("u")), "norm_text").filter("id != u").select("u", F.col("id").alias("v"))
+    x = table(spark, d, "incident_records").filter("norm_text != ''").select("id", F.sha2("norm_text", 256).alias("h")).distinct()
+    least = space.cut(x.groupBy("h").agg(F.min("id").alias("u"), F.count("*").alias("n")).filter("n > 1"), "least")
+    exact = join_hot(x, least, "h", "n", stored=True).filter("id != u").select("u", F.col("id").alias("v"))
     return components(near.union(exact), space).select("id", F.col("root").alias("group_root"))
 
 

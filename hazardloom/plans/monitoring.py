@@ -157,11 +157,21 @@ def _(spark, d):
 @REG.add("a26_auc", EV + """, g AS (SELECT p, count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg FROM e GROUP BY p), k AS (SELECT p, pos, neg, sum(neg) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) - neg AS below, sum(pos) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(pos + neg) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS taken FROM g)
   SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * tp / taken) / sum(pos), 6) AS pr_auc FROM k""")
 def _(spark, d):
-    """Rank form over distinct scores (four decimals, so their number is bounded), with running sums over those alone."""
+    """Rank form over distinct scores: running sums within a thousandth of the scale, which carry on from the sums of
+    the thousandths before; only those (at most 1,001 rows) are ordered in one task."""
     g = evaluation(spark, d).groupBy("p").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    up, down = W.orderBy("p").rowsBetween(W.unboundedPreceding, 0), W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    k = g.select("pos", "neg", (F.sum("neg").over(up) - F.col("neg")).alias("below"), F.sum("pos").over(down).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(down).alias("taken"))
-    return k.agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg")), 6).alias("roc_auc"), F.round(F.sum(F.col("pos") * F.col("tp") / F.col("taken")) / F.sum("pos"), 6).alias("pr_auc"))
+    g = g.withColumn("bin", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * 1000).cast("int"))
+    bins = g.groupBy("bin").agg(F.sum("pos").alias("bin_pos"), F.sum("neg").alias("bin_neg"))
+    before, after = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    bins = bins.select("bin", zero(F.sum("bin_neg").over(before)).alias("neg_below"), zero(F.sum("bin_pos").over(after)).alias("pos_above"), zero(F.sum(F.col("bin_pos") + F.col("bin_neg")).over(after)).alias("above"))
+    up = W.partitionBy("bin").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("bin").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
+    k = g.join(F.broadcast(bins), "bin").select(
+        "pos", "neg", (F.col("neg_below") + F.sum("neg").over(up) - F.col("neg")).alias("below"), (F.col("pos_above") + F.sum("pos").over(down)).alias("tp"), (F.col("above") + F.sum(F.col("pos") + F.col("neg")).over(down)).alias("taken")
+    )
+    roc = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg"))
+    return k.agg(F.round(roc, 6).alias("roc_auc"), F.round(F.sum(F.col("pos") * F.col("tp") / F.col("taken")) / F.sum("pos"), 6).alias("pr_auc"))
 
 
 @REG.add("a27_segment_evaluation", EV + ", s AS (SELECT 'site_id' AS dimension, site_id AS segment, y, p FROM e UNION ALL SELECT 'department', department, y, p FROM e UNION ALL SELECT 'report_type', report_type, y, p FROM e), q AS (SELECT * FROM s WHERE segment IS NOT NULL)" + _metrics_sql("dimension, segment", "q", "0.5"))
