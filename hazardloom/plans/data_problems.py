@@ -72,4 +72,29 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_rows": p3_rows,
 }
-SQL: dict[str, str] = {}
+
+#: A field of a record, quoted or bare, for the delimiter d of its file.
+_FIELD = """('(?:"[^"]*(?:""[^"]*)*"|[^"' || d || ']*)')"""
+_PLAIN = """CASE WHEN starts_with(v, '"') THEN replace(substring(v, 2, length(v) - 2), '""', '"') ELSE v END"""
+_FIELDS = """list_transform(regexp_extract_all({t} || d, '(' || field || ')[' || d || ']', 1), lambda v: """ + _PLAIN + ")"
+SQL: dict[str, str] = {
+    "p3_found": rf"""WITH f AS (SELECT DISTINCT file_id FROM raw_files WHERE lower(trim(file_format)) = 'csv' AND lower(trim(source)) IN ('phmsa', 'osha')),
+      h AS (SELECT file_id, min(line_text) AS header FROM raw_records JOIN f USING (file_id) WHERE line_no = 0 GROUP BY 1),
+      b AS (SELECT *, regexp_replace(header, '"[^"]*"', '', 'g') AS bare FROM h),
+      c AS (SELECT *, [length(bare) - length(replace(bare, x, '')) FOR x IN [',', ';', '|', chr(9)]] AS n FROM b),
+      d AS (SELECT file_id, header, [',', ';', '|', chr(9)][list_position(n, list_max(n))] AS d FROM c),
+      e AS (SELECT *, {_FIELD} AS field FROM d),
+      k AS (SELECT *, {_FIELDS.format(t='header')} AS names FROM e),
+      x AS (SELECT DISTINCT file_id, line_no, coalesce(line_text, '') AS t, d, field, names FROM raw_records JOIN k USING (file_id) WHERE line_no <> 0),
+      y AS (SELECT *, regexp_full_match(t, field || '(?:[' || d || ']' || field || ')*') AS closed FROM x),
+      z AS (SELECT *, CASE WHEN closed THEN {_FIELDS.format(t='t')} END AS vals FROM y),
+      u AS (SELECT file_id, line_no, unnest(list_transform(names, lambda w: upper(trim(w)))) AS name, unnest(vals) AS v FROM z WHERE closed AND len(vals) = len(names)),
+      w AS (SELECT DISTINCT file_id, line_no FROM u WHERE CASE
+        WHEN name IN ('NUM_FATALITIES', 'NUM_INJURIES', 'HOSPITALIZED', 'AMPUTATION') THEN NOT (lower(trim(v)) IN ('', 'null', 'none', 'nan', 'unknown', 'n/a') OR regexp_full_match(v, '\s*[0-9]+(\.0+)?\s*'))
+        WHEN name = 'UNINTENTIONAL_RELEASE_BBLS' THEN NOT regexp_full_match(v, '\s*\+?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*')
+        WHEN name = 'LOCAL_DATETIME' THEN NOT (regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') AND try_strptime(v, '%Y-%m-%d %H:%M:%S') IS NOT NULL)
+        WHEN name = 'INCIDENT DATE' THEN NOT (regexp_full_match(v, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') AND try_strptime(v, '%m/%d/%Y') IS NOT NULL)
+        WHEN name IN ('NARRATIVE', 'FINAL NARRATIVE') THEN length(regexp_replace(v, '^\s+|\s+$', '', 'g')) < 10 ELSE false END)
+      SELECT DISTINCT z.file_id, z.line_no::BIGINT AS line_no, CASE WHEN NOT closed THEN 'quoting' WHEN len(vals) <> len(names) THEN 'column_count' ELSE 'invalid_value' END AS reason
+      FROM z LEFT JOIN w ON w.file_id = z.file_id AND w.line_no = z.line_no WHERE NOT closed OR len(vals) <> len(names) OR w.file_id IS NOT NULL""",
+}
