@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hazardloom.plans import dashboard, data_problems, governance, ingestion, monitoring, pipeline, streams, texts
+from hazardloom.plans import corpus, dashboard, data_problems, governance, ingestion, monitoring, pipeline, streams, texts
 
-MODULES = (data_problems, dashboard, monitoring, texts, pipeline, governance, ingestion, streams)
+MODULES = (data_problems, dashboard, monitoring, texts, pipeline, governance, ingestion, corpus, streams)
 
 
 def queries() -> dict:
