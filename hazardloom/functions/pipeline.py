@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardloom.functions import fixed_values as V
@@ -197,10 +197,15 @@ def _rule_tag(low: Column, f: Column, sentences: Column, rule: Rule) -> Column:
     return F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.round(sure, 3).alias("confidence"), source.alias("source"), n_phrases.alias("n_phrases"), n_words.alias("n_keywords"))
 
 
+def with_signals(df: DataFrame, processed: str) -> DataFrame:
+    """``df`` with ``low``, ``f`` (features) and ``sentences`` of a column, made once for all rules."""
+    c = F.col(processed)
+    return df.withColumns({"low": F.lower(c), "f": features(c), "sentences": concept_sentences(c)})
+
+
 def rule_tags(processed: Column, catalogue: list[Rule] | None = None, threshold: float = 0.5) -> Column:
-    """Tags of a processed narrative by falling confidence, then rule. A control stated to be in place, or a bare movement of material, has none."""
-    low = F.lower(processed)
-    f, sentences = features(processed), concept_sentences(processed)
+    """Tags of a narrative by falling confidence, then rule, over the columns of ``with_signals``. A control stated to be in place, or a bare movement of material, has none."""
+    low, f, sentences = F.col("low"), F.col("f"), F.col("sentences")
     tags = F.filter(F.array(*(_rule_tag(low, f, sentences, r) for r in catalogue or own_catalogue())), lambda t: t["confidence"] >= threshold)
     quiet = (F.size(f["energy_types"]) + F.size(f["proximity_hits"]) + F.size(f["barrier_failures"])) == 0
     none = matches(processed, V.CONFIRMED_CONTROL) | F.coalesce(low.contains("forklift") & low.contains("pipe bundle") & quiet, F.lit(False))

@@ -96,8 +96,8 @@ def _processed(spark, d):
 @REG.add("t04_full_rule_tags")
 def _(spark, d):
     """Tags of the processed narratives from phrases, keywords, concepts and cross signals."""
-    tags = _processed(spark, d).filter("p.script is null").select("id", F.explode(P.rule_tags(F.col("p.processed"))).alias("t"))
-    return tags.select("id", "t.*")
+    read = P.with_signals(_processed(spark, d).filter("p.script is null"), "p.processed")
+    return read.select("id", F.explode(P.rule_tags(F.col("p.processed"))).alias("t")).select("id", "t.*")
 
 
 def _classified(spark, d):
@@ -108,9 +108,10 @@ def _classified(spark, d):
     band = F.when(F.col("status") == "LANGUAGE_UNSUPPORTED", "LANGUAGE_UNSUPPORTED_NEEDS_REVIEW").when(F.col("score") >= BANDS[0], "SIF_LIKELY").when(F.col("score") >= BANDS[1], "UNCERTAIN").otherwise("NON_SIF")
     pos, label, sure = X.vote_label(list(X.weak_votes(F.col("p.processed")).values()))
     read = F.col("p.script").isNull()
-    return p.withColumns({"status": status, "score": F.round(score, 4)}).select(
-        "id", "p", "equipment_type", "status", "score", band.alias("state"), F.when(read, label).alias("weak_label"), F.when(read, F.round(sure, 4)).alias("weak_confidence"),
-        F.when(read, P.phrases(P.features(F.col("p.processed"))["spans"])).alias("phrases"),
+    told = P.with_signals(p.withColumns({"status": status, "score": F.round(score, 4)}), "p.processed")
+    return told.select(
+        "id", "p", "equipment_type", "low", "f", "sentences", "status", "score", band.alias("state"), F.when(read, label).alias("weak_label"), F.when(read, F.round(sure, 4)).alias("weak_confidence"),
+        F.when(read, P.phrases(F.col("f.spans"))).alias("phrases"),
     )
 
 

@@ -25,23 +25,20 @@ HOUSEKEEPING = "Routine housekeeping completed in warehouse. Swept floor, organi
 
 def run(spark, texts, *columns):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    return df.withColumn("p", P.preprocessed(F.col("t"))).select("k", "p", *columns).orderBy("k").collect()
+    return P.with_signals(df.withColumn("p", P.preprocessed(F.col("t"))), "p.processed").select("k", "p", *columns).orderBy("k").collect()
 
 
-def test_nine_rules(spark):
-    rows = run(spark, list(SCENARIOS.values()), P.rule_tags(F.col("p.processed")).alias("tags"))
+def test_rules_and_quiet_narratives(spark):
+    p = F.col("p.processed")
+    rows = run(spark, [*SCENARIOS.values(), *QUIET, HOUSEKEEPING], P.rule_tags(p).alias("tags"), P.guard(p, F.col("p.script"), F.lit(0.9)).alias("status"))
     for rule, row in zip(SCENARIOS, rows):
         found = {t["rule_id"]: t["confidence"] for t in row["tags"]}
         assert found.get(rule, 0) >= 0.5, (rule, found)
         order = [(-t["confidence"], t["rule_id"]) for t in row["tags"]]
         assert order == sorted(order)
-
-
-def test_quiet_narratives(spark):
-    p = F.col("p.processed")
-    rows = run(spark, [*QUIET, HOUSEKEEPING], P.rule_tags(p).alias("tags"), P.guard(p, F.col("p.script"), F.lit(0.9)).alias("status"))
-    assert [r["tags"] for r in rows] == [[]] * len(rows)
-    assert [r["status"] for r in rows[: len(QUIET)]] == ["NO_ASSERTED_SAFETY_SIGNAL"] * len(QUIET)
+    quiet = rows[len(SCENARIOS) :]
+    assert [r["tags"] for r in quiet] == [[]] * len(quiet)
+    assert [r["status"] for r in quiet[: len(QUIET)]] == ["NO_ASSERTED_SAFETY_SIGNAL"] * len(QUIET)
 
 
 def test_guards_in_order(spark):
