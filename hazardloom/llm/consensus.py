@@ -90,7 +90,7 @@ def _shift(old: Column | float, new: Column | float):
     return F.abs(new - old) / F.greatest(F.abs(old), F.lit(1.0))
 
 
-def _packed_rounds(labels: DataFrame, raters: DataFrame, space: Workspace, alpha: float, rounds: int, two_sided: bool) -> tuple[DataFrame, DataFrame]:
+def _packed_rounds(labels: DataFrame, raters: DataFrame, space: Workspace, alpha: float, rounds: int, two_sided: bool, settled: float) -> tuple[DataFrame, DataFrame]:
     """Items hold their labels as (annotator number, label); weights are two arrays sent to every task."""
     spark = labels.sparkSession
     names = sorted(r[0] for r in raters.select("annotator").collect())  # at most BROADCAST_ANNOTATORS
@@ -123,7 +123,7 @@ def _packed_rounds(labels: DataFrame, raters: DataFrame, space: Workspace, alpha
         prior = _log_odds(total["n1"] / total["n"] if total else None)
         moved = max((abs(b[c] - a[c]) / max(1.0, abs(a[c])) for a, b in zip(weights, new) for c in ("yes", "no")), default=0.0) if weights else None
         weights = new
-        if not names or moved is not None and moved <= SETTLED:
+        if not names or moved is not None and moved <= settled:
             break
     else:
         raise RuntimeError(f"weights still move after {rounds} rounds")
@@ -132,7 +132,7 @@ def _packed_rounds(labels: DataFrame, raters: DataFrame, space: Workspace, alpha
     return truth_of(weights if names else None, prior).drop("votes"), table
 
 
-def _joined_rounds(labels: DataFrame, raters: DataFrame, space: Workspace, alpha: float, rounds: int, two_sided: bool) -> tuple[DataFrame, DataFrame]:
+def _joined_rounds(labels: DataFrame, raters: DataFrame, space: Workspace, alpha: float, rounds: int, two_sided: bool, settled: float) -> tuple[DataFrame, DataFrame]:
     """Any number of annotators: labels meet truths by item and weights by annotator, hot annotators with salts."""
     counts = {"n_labels": F.count("*"), "n_positive": F.sum("x").cast("long")}
     truth = space.cut(labels.groupBy("item").agg(F.avg("x").alias("truth"), *(c.alias(k) for k, c in counts.items())), "truth")
@@ -153,17 +153,17 @@ def _joined_rounds(labels: DataFrame, raters: DataFrame, space: Workspace, alpha
             moved = both.agg(F.max(F.greatest(_shift(F.col("yes_was"), F.col("yes")), _shift(F.col("no_was"), F.col("no"))))).first()[0] or 0.0
         space.drop(truth, weights, per_item)
         truth, weights = nxt, new
-        if moved is not None and moved <= SETTLED:
+        if moved is not None and moved <= settled:
             return truth, weights
     raise RuntimeError(f"weights still move after {rounds} rounds")
 
 
-def discover(labels: DataFrame, space: Workspace, alpha: float = ALPHA, two_sided: bool = True, rounds: int = MAX_ROUNDS, packed: int = BROADCAST_ANNOTATORS) -> tuple[DataFrame, DataFrame]:
+def discover(labels: DataFrame, space: Workspace, alpha: float = ALPHA, two_sided: bool = True, rounds: int = MAX_ROUNDS, packed: int = BROADCAST_ANNOTATORS, settled: float = SETTLED) -> tuple[DataFrame, DataFrame]:
     """((item, truth, n_labels, n_positive), (annotator, n, e1, e0, yes, no, ...)) once the weights have settled. ``packed``: annotators up to which weights are broadcast."""
     labels = space.cut(labels.select("item", "annotator", "x"), "labels")
     raters = space.cut(labels.groupBy("annotator").agg(F.count("*").alias("n")), "raters")
     run = _packed_rounds if raters.count() <= packed else _joined_rounds
-    return run(labels, raters, space, alpha, rounds, two_sided)
+    return run(labels, raters, space, alpha, rounds, two_sided, settled)
 
 
 def reliability(weights: DataFrame) -> DataFrame:

@@ -111,11 +111,11 @@ def test_consensus(spark):
 @pytest.mark.parametrize("two_sided", [True, False])
 def test_both_consensus_plans_agree(spark, two_sided):
     rng = random.Random(5)
-    rows = [(f"i{k:03d}", f"a{a}", float((k % 3 == 0) if rng.random() < 0.6 + 0.05 * a else (k % 3 != 0))) for k in range(120) for a in rng.sample(range(8), 4)]
+    rows = [(f"i{k:03d}", f"a{a}", float((k % 3 == 0) if rng.random() < 0.6 + 0.05 * a else (k % 3 != 0))) for k in range(120) for a in rng.sample(range(8), 5)]
     labels = spark.createDataFrame(rows, "item string, annotator string, x double")
     got = []
     for packed in (100, 0):
-        truth, weights = consensus.discover(labels, Workspace(spark, "t"), two_sided=two_sided, packed=packed)
+        truth, weights = consensus.discover(labels, Workspace(spark, "t"), two_sided=two_sided, packed=packed, settled=0.05)
         got.append(({r["item"]: (round(r["truth"], 4), r["n_labels"], r["n_positive"]) for r in truth.collect()}, {r["annotator"]: round(r["yes"], 3) for r in weights.collect()}))
     assert got[0][0].keys() == got[1][0].keys() and got[0][1].keys() == got[1][1].keys()
     assert all(abs(a[0] - got[1][0][k][0]) < 0.01 and a[1:] == got[1][0][k][1:] for k, a in got[0][0].items())
