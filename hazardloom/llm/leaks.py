@@ -26,7 +26,8 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from operator import itemgetter
+from itertools import accumulate
+from operator import itemgetter, sub
 
 import numpy as np
 import pandas as pd
@@ -245,14 +246,16 @@ def _windows(n: int, width: int, stride: int) -> range:
     return range(0, max(1, n - (width - stride)), stride)
 
 
-def _asked(index: Index, units, size: int, width: int, stride: int) -> Iterator[tuple[int, int]]:
-    """(start of a window, item position) of everything the index returns for the windows of a document."""
+def _asked(index: Index, units, size: int, width: int, stride: int, starts: set[int] | None = None) -> Iterator[tuple[int, int]]:
+    """(start of a window, item position) of everything the index returns for the windows of a document, or those that begin at ``starts``."""
     terms = shingles(units, size)
     known = [k for k, t in enumerate(terms) if t in index.list_max]
     if not known:
         return
     first = 0
     for start in _windows(len(units), width, stride):
+        if starts is not None and start not in starts:
+            continue
         while first < len(known) and known[first] < start:
             first += 1
         k, query = first, set()
@@ -264,12 +267,12 @@ def _asked(index: Index, units, size: int, width: int, stride: int) -> Iterator[
                 yield start, item
 
 
-def _in_words(text: str, index: Index) -> set[int]:
+def _in_words(text: str, index: Index, starts: set[int] | None = None) -> set[int]:
     doc = words_of(text)
     found: set[int] = set()
     seen: dict[int, int] = {}  # item -> end of the stretch that is verified already
     long, short = shingles(doc, SEED), shingles(doc, SHINGLE)
-    for start, k in _asked(index, doc, SHINGLE, WINDOW, STRIDE):
+    for start, k in _asked(index, doc, SHINGLE, WINDOW, STRIDE, starts):
         end = min(len(doc), start + WINDOW)
         if index.ids[k] in found or seen.get(k, -1) >= end:
             continue
@@ -286,27 +289,25 @@ def _in_words(text: str, index: Index) -> set[int]:
 def _verified(part: list[str], item: list[str], long: list, short: list, seeds: dict, terms: set) -> bool:
     """The exact check. Any case has ``SEED`` equal words in a row, and its other words lie no further from that diagonal than edits shift them."""
     runs: dict[int, tuple[int, int]] = {}  # diagonal -> end and length of its last run
-    for j, run in enumerate(long):
-        for i in seeds.get(run, ()):
+    for j in [j for j, run in enumerate(long) if run in seeds]:
+        for i in seeds[long[j]]:
             last, length = runs.get(i - j, (-2, 0))
             length = length + 1 if last == j - 1 else SEED
             if length >= RUN:
                 return True
             runs[i - j] = (j, length)
-    sums = [0]
-    for t in short:
-        sums.append(sums[-1] + (t in terms))
-    n = len(sums) - 1
-    if not any(sums[min(n, a + DENSE[0])] - sums[a] >= DENSE[1] for a in range(n)):
+    sums = list(accumulate(map(terms.__contains__, short), initial=0))
+    width = min(DENSE[0], len(short))
+    if not width or max(map(sub, sums[width:], sums)) < DENSE[1]:
         return False
     shift = len(item) // 10
     return holds_part(part, item, near={d + k for d in runs for k in range(-shift, shift + 1)})
 
 
-def _in_chars(text: str, index: Index) -> set[int]:
+def _in_chars(text: str, index: Index, starts: set[int] | None = None) -> set[int]:
     doc = chars_of(text)
     found: set[int] = set()
-    for start, k in _asked(index, doc, CHAR_SHINGLE, CHAR_WINDOW, CHAR_STRIDE):
+    for start, k in _asked(index, doc, CHAR_SHINGLE, CHAR_WINDOW, CHAR_STRIDE, starts):
         if index.ids[k] not in found:
             part = doc[start : start + CHAR_WINDOW]
             if any(part[i : i + CHARS] in index.words[k] for i in range(len(part) - CHARS + 1)):
@@ -348,9 +349,9 @@ def make_screen(index: Index) -> Screen:
     return Screen(vocabulary, terms[order], most[order], index.least)
 
 
-def _may_hold(screen: Screen, units: pa.Array, of: np.ndarray, n: int, size: int, width: int, stride: int) -> np.ndarray:
-    """Which of n documents have a window whose known terms could reach the least threshold. ``units``: their words or signs, ``of``: their document."""
-    found = np.zeros(n, dtype=bool)
+def _may_hold(screen: Screen, units: pa.Array, of: np.ndarray, size: int, width: int, stride: int) -> dict[int, set[int]]:
+    """Per document the starts of the windows whose known terms could reach the least threshold. ``units``: words or signs, ``of``: their document."""
+    found: dict[int, set[int]] = {}
     if len(units) < size or not len(screen.terms):
         return found
     coded = units.dictionary_encode()
@@ -363,7 +364,7 @@ def _may_hold(screen: Screen, units: pa.Array, of: np.ndarray, n: int, size: int
     at = np.minimum(np.searchsorted(screen.terms, h), len(screen.terms) - 1)
     worth = np.where(inside & (screen.terms[at] == h), screen.most[at], 0.0)
     total = np.concatenate([[0.0], np.cumsum(worth)])
-    # every window of a document lies within two neighbouring strides of its own, counted from its first unit
+    # windows begin at every stride of a document, counted from its first unit
     first = np.searchsorted(of, of[: len(h)], side="left")
     offset = np.arange(len(h)) - first
     begins = np.flatnonzero(offset % stride == 0)
@@ -371,25 +372,28 @@ def _may_hold(screen: Screen, units: pa.Array, of: np.ndarray, n: int, size: int
     last = np.searchsorted(of, of[begins], side="right")
     ends = np.maximum(begins, np.minimum(ends, last - size + 1))
     held = total[np.minimum(ends, len(h))] - total[begins]
-    found[of[begins[held >= screen.least * (1 - 1e-6)]]] = True
+    passed = begins[held >= screen.least * (1 - 1e-6)]
+    for doc, start in zip(of[passed].tolist(), offset[passed].tolist()):
+        found.setdefault(doc, set()).add(start)
     return found
 
 
-def _candidates(texts: list, words: tuple[Index, Screen], chars: tuple[Index, Screen]) -> tuple[np.ndarray, np.ndarray]:
-    """Which texts may hold a part of a spaced and of a Chinese item."""
+def _candidates(texts: list, words: tuple[Index, Screen], chars: tuple[Index, Screen]) -> tuple[dict[int, set[int]], dict[int, set[int]]]:
+    """Windows by text that may hold a part of a spaced and of a Chinese item."""
     plain = pa.array([unicodedata.normalize("NFC", t).casefold().encode("utf-8", "replace").decode() if t else "" for t in texts], pa.large_string())
     lists = pc.split_pattern_regex(plain, r"[^\p{L}\p{M}\p{Nd}]+")
     of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
     flat = lists.flatten()
     real = np.asarray(pc.not_equal(flat, "")).astype(bool)
     of, flat = of[real], flat.filter(pa.array(real))
-    in_words = _may_hold(words[1], flat, of, len(texts), SHINGLE, WINDOW, STRIDE)
-    in_chars = np.zeros(len(texts), dtype=bool)
+    in_words = _may_hold(words[1], flat, of, SHINGLE, WINDOW, STRIDE)
+    in_chars: dict[int, set[int]] = {}
     if chars[0].ids:
         han = np.flatnonzero(np.asarray(pc.match_substring_regex(plain, r"\p{Han}")).astype(bool))
         units = [list(chars_of(texts[k])) for k in han]
         of = np.repeat(np.arange(len(han)), [len(u) for u in units])
-        in_chars[han] = _may_hold(chars[1], pa.array([c for u in units for c in u], pa.string()), of, len(han), CHAR_SHINGLE, CHAR_WINDOW, CHAR_STRIDE)
+        passed = _may_hold(chars[1], pa.array([c for u in units for c in u], pa.string()), of, CHAR_SHINGLE, CHAR_WINDOW, CHAR_STRIDE)
+        in_chars = {int(han[k]): starts for k, starts in passed.items()}
     return in_words, in_chars
 
 
@@ -406,10 +410,10 @@ def _one_shard(docs: DataFrame, rows: list, schema: str) -> DataFrame:
             in_words, in_chars = _candidates(texts, words, chars)
             out = []
             ids = pdf["doc_id"].tolist()
-            for k in np.flatnonzero(in_words | in_chars):
-                found = _in_words(texts[k], words[0]) if in_words[k] else set()
-                if in_chars[k]:
-                    found |= _in_chars(texts[k], chars[0])
+            for k in sorted(in_words.keys() | in_chars.keys()):
+                found = _in_words(texts[k], words[0], in_words[k]) if k in in_words else set()
+                if k in in_chars:
+                    found |= _in_chars(texts[k], chars[0], in_chars[k])
                 out += [(ids[k], i) for i in sorted(found)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
