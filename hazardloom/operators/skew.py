@@ -13,7 +13,7 @@ HOT_ROWS = 200_000
 SALT_ROWS = 100_000
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, rows_col: str, how: str = "inner", parts: int = SALT_ROWS, stored: bool = False) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str, rows_col: str, how: str = "inner", parts: int = SALT_ROWS, stored: bool = False, most: int | None = None) -> DataFrame:
     """Join ``big`` with ``small`` (unique on ``key``, holding in ``rows_col`` the rows ``big`` has of it).
 
     The row of a hot key is repeated once per salt and the rows of ``big`` are spread over the salts. ``big``
@@ -22,8 +22,10 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, rows_col: str, how: str
     broadcast hint (Spark broadcasts it where its measured size allows). Keys that aren't hot keep salt 0. The salt
     is a hash of the row, so a task that runs again deals its rows as before; equal rows share one.
     ``stored``: ``small`` is a written table, so a look at it tells cheaply that no key is hot, and one join will do.
+    ``most``: the rows of the hottest key, where they were seen when ``small`` was written.
     """
-    if stored and small.filter(F.col(rows_col) > HOT_ROWS).isEmpty():
+    cool = most <= HOT_ROWS if most is not None else stored and small.filter(F.col(rows_col) > HOT_ROWS).isEmpty()
+    if cool:
         return big.join(small.drop(rows_col), key, how)
     salts = F.when(F.col(rows_col) > HOT_ROWS, F.ceil(F.col(rows_col) / F.lit(parts)).cast("int")).otherwise(F.lit(1))
     sized = small.withColumn("__salts", salts)
@@ -39,4 +41,4 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, rows_col: str, how: str
 
 def counted(big: DataFrame, small: DataFrame, key: str, space: Workspace) -> DataFrame:
     """``small`` (unique on ``key``) with the number n of rows that ``big`` has of each key it holds, as a table for ``join_hot``."""
-    return space.cut(small.join(big.groupBy(key).agg(F.count("*").alias("n")), key), "counted")
+    return space.cut(small.join(big.groupBy(key).agg(F.count("*").alias("n")), key), "counted", most=F.max("n"))

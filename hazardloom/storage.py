@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_root: dict[str, str] = {}
@@ -37,15 +37,27 @@ class Workspace:
         self.base = f"{checkpoint_root(spark)}/hazardloom/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def cut(self, df: DataFrame, label: str = "t") -> DataFrame:
-        """``df`` as a table on shared storage. The schema is passed on, so no footer has to be read for it."""
+    def cut(self, df: DataFrame, label: str = "t", **seen: Column) -> DataFrame:
+        """``df`` as a table on shared storage. The schema is passed on, so no footer has to be read for it.
+
+        ``seen``: aggregates that are taken while the table is written, for ``seen_of``, so that a loop needs no job of
+        its own to ask whether it is done. A task that runs again may count twice: ask for maxima and for more than 0.
+        """
         self._n += 1
         path = f"{self.base}/{self._n:04d}-{label}"
-        df.write.mode("overwrite").parquet(path)
+        told = Observation()
+        rows = df.observe(told, *(c.alias(k) for k, c in seen.items())) if seen else df
+        rows.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path  # the table's own folder goes with the object, not with its id
+        out._workspace_seen = told.get if seen else {}
         return out
 
+    @staticmethod
+    def seen_of(table: DataFrame, name: str) -> int:
+        """What ``cut`` saw of a table; 0 where it had no rows."""
+        return table._workspace_seen[name] or 0
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables made by ``cut`` that nothing will read again; frames derived from them can't be named here."""
         for t in tables:

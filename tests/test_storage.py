@@ -49,6 +49,13 @@ def test_only_own_tables_are_dropped(spark):
     space.drop(t, None)
 
 
+def test_what_a_table_saw_when_it_was_written(spark):
+    space = Workspace(spark, "t-seen")
+    seen = {"rows": F.count(F.lit(1)), "most": F.max("id")}
+    t, none = space.cut(spark.range(5), "t", **seen), space.cut(spark.range(5).filter("id < 0"), "none", **seen)
+    assert (space.seen_of(t, "rows"), space.seen_of(t, "most")) == (5, 4) and (space.seen_of(none, "rows"), space.seen_of(none, "most")) == (0, 0)
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf:
         def get(self, *_):
