@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hazardloom.llm.components import clean_id
-from hazardloom.operators.skew import counted, join_hot
+from hazardloom.operators.skew import join_hot
 from hazardloom.storage import Workspace
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -40,11 +40,12 @@ def tie_edges(records: DataFrame, record_id: str, keys: list[str], space: Worksp
 
 def spanning_forest(edges: DataFrame, space: Workspace, max_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
     """((id, root) of every vertex, (u, v) edges of the forest); root is the smallest id of the tree."""
-    e = space.cut(edges.select("u", "v", F.struct("u", "v").alias("w")), "round")
+    rows_of = {"rows": F.count(F.lit(1))}
+    e = space.cut(edges.select("u", "v", F.struct("u", "v").alias("w")), "round", **rows_of)
     labels = space.cut(edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct().select("id", F.col("id").alias("root")), "labels")
     forest: list[DataFrame] = []
     for _ in range(max_rounds):
-        if e.isEmpty():
+        if not space.seen_of(e, "rows"):
             break
         ends = e.select(F.col("u").alias("a"), F.col("v").alias("b"), "w").union(e.select(F.col("v").alias("a"), F.col("u").alias("b"), "w"))
         best = space.cut(ends.groupBy("a").agg(F.min(F.struct("w", "b")).alias("s")).select("a", F.col("s.b").alias("b"), F.col("s.w").alias("w")), "best")
@@ -54,23 +55,24 @@ def spanning_forest(edges: DataFrame, space: Workspace, max_rounds: int = 40) ->
         parent = best.join(back, "b", "left").select("a", F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("p"))
         parent = space.cut(parent, "parent")
         while True:  # all leaves of a star have one parent: its row is joined with salts where it is hot
-            up = counted(parent, parent.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", space)
-            jumped = join_hot(parent, up, "p", "n", stored=True).select("a", F.col("q").alias("p"))
-            if up.filter("p != q").isEmpty():
+            next_up = parent.select(F.col("a").alias("p"), F.col("p").alias("q")).join(parent.groupBy("p").agg(F.count("*").alias("n")), "p")
+            up = space.cut(next_up, "up", most=F.max("n"), moved=F.count_if(F.col("p") != F.col("q")))
+            if not space.seen_of(up, "moved"):
                 break
+            jumped = join_hot(parent, up, "p", "n", most=space.seen_of(up, "most")).select("a", F.col("q").alias("p"))
             before, parent = parent, space.cut(jumped, "parent")
             space.drop(before, up)
         # rows of each vertex as left end, right end and label, so that hot ones are salted
         rows = e.select(F.col("u").alias("a"), F.lit(1).alias("nu"), F.lit(0).alias("nv"), F.lit(0).alias("nr"))
         rows = rows.union(e.select("v", F.lit(0), F.lit(1), F.lit(0))).union(labels.select("root", F.lit(0), F.lit(0), F.lit(1)))
-        to = space.cut(parent.join(rows.groupBy("a").agg(*(F.sum(c).alias(c) for c in ("nu", "nv", "nr"))), "a"), "to")
+        to = space.cut(parent.join(rows.groupBy("a").agg(*(F.sum(c).alias(c) for c in ("nu", "nv", "nr"))), "a"), "to", **{c: F.max(c) for c in ("nu", "nv", "nr")})
         u = to.select(F.col("a").alias("u"), F.col("p").alias("ru"), F.col("nu").alias("n"))
         v = to.select(F.col("a").alias("v"), F.col("p").alias("rv"), F.col("nv").alias("n"))
-        ends = join_hot(join_hot(e, u, "u", "n", stored=True), v, "v", "n", stored=True)
+        ends = join_hot(join_hot(e, u, "u", "n", most=space.seen_of(to, "nu")), v, "v", "n", most=space.seen_of(to, "nv"))
         moved = ends.filter("ru != rv").groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min("w").alias("w"))
-        nxt = space.cut(moved, "round")
+        nxt = space.cut(moved, "round", **rows_of)
         roots = to.select(F.col("a").alias("root"), "p", F.col("nr").alias("n"))
-        new = space.cut(join_hot(labels, roots, "root", "n", "left", stored=True).select("id", F.coalesce("p", "root").alias("root")), "labels")
+        new = space.cut(join_hot(labels, roots, "root", "n", "left", most=space.seen_of(to, "nr")).select("id", F.coalesce("p", "root").alias("root")), "labels")
         space.drop(e, best, labels, parent, to)
         e, labels = nxt, new
     else:
