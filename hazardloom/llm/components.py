@@ -38,23 +38,24 @@ def clean_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def connected_groups(links: DataFrame, space: Workspace, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(id, root) of every vertex of ``links`` (u, v; each undirected link once), root the smallest id of its group."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    edges = space.cut(both, "edges")
+    rows, most = {"rows": F.count(F.lit(1))}, {"most": F.max("n")}  # seen while a table is written
+    edges = space.cut(both, "edges", **rows)
     first, forest = edges, []
     for _ in range(max_rounds):
-        if edges.isEmpty():
+        if not space.seen_of(edges, "rows"):
             break
         # the smallest name in the closed neighbourhood of each vertex, told to the whole neighbourhood
-        least = space.cut(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
-        told = join_hot(edges, least, "u", "n", stored=True).select(F.col("v").alias("a"), F.col("m").alias("t")).union(least.select(F.col("u").alias("a"), F.col("m").alias("t")))
+        least = space.cut(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least", **most)
+        told = join_hot(edges, least, "u", "n", most=space.seen_of(least, "most")).select(F.col("v").alias("a"), F.col("m").alias("t")).union(least.select(F.col("u").alias("a"), F.col("m").alias("t")))
         told = space.cut(told.distinct(), "told")
-        heads = space.cut(told.groupBy("a").agg(F.min("t").alias("h"), F.count("*").alias("n"), F.max((F.col("a") == F.col("t")).cast("int")).alias("named")), "heads")
+        heads = space.cut(told.groupBy("a").agg(F.min("t").alias("h"), F.count("*").alias("n"), F.max((F.col("a") == F.col("t")).cast("int")).alias("named")), "heads", **most)
         forest.append(space.cut(heads.filter("named = 0").select(F.col("a").alias("child"), F.col("h").alias("parent")), "forest"))
-        linked = join_hot(told, heads.select("a", "h", "n"), "a", "n", stored=True).filter("t != h").select(F.least("t", "h").alias("p"), F.greatest("t", "h").alias("q")).distinct()
-        nxt = space.cut(linked.select(F.col("p").alias("u"), F.col("q").alias("v")).union(linked.select(F.col("q").alias("u"), F.col("p").alias("v"))), "edges")
+        linked = join_hot(told, heads.select("a", "h", "n"), "a", "n", most=space.seen_of(heads, "most")).filter("t != h").select(F.least("t", "h").alias("p"), F.greatest("t", "h").alias("q")).distinct()
+        nxt = space.cut(linked.select(F.col("p").alias("u"), F.col("q").alias("v")).union(linked.select(F.col("q").alias("u"), F.col("p").alias("v"))), "edges", **rows)
         space.drop(least, told, heads, edges if edges is not first else None)
         edges = nxt
     else:
-        if not edges.isEmpty():
+        if space.seen_of(edges, "rows"):
             raise RuntimeError(f"no end after {max_rounds} rounds")
     # seeds flow down: a parent without a label of its own is a seed
     labels = None
@@ -63,8 +64,8 @@ def connected_groups(links: DataFrame, space: Workspace, max_rounds: int = MAX_R
             new = tree.select(F.col("child").alias("id"), F.col("parent").alias("root"))
         else:
             below = tree.groupBy("parent").agg(F.count("*").alias("n"))
-            known = below.join(labels, below["parent"] == labels["id"]).select("parent", "root", "n")
-            new = join_hot(tree, known, "parent", "n", "left").select(F.col("child").alias("id"), F.coalesce("root", "parent").alias("root"))
+            known = space.cut(below.join(labels, below["parent"] == labels["id"]).select("parent", "root", "n"), "known", **most)
+            new = join_hot(tree, known, "parent", "n", "left", most=space.seen_of(known, "most")).select(F.col("child").alias("id"), F.coalesce("root", "parent").alias("root"))
             new = labels.union(new)
         old, labels = labels, space.cut(new, "labels")
         space.drop(old)
