@@ -231,6 +231,18 @@ def test_sentences(spark):
     assert units(spark, []) == {}
 
 
+def test_copies_are_no_evidence(spark, monkeypatch):
+    """The model reads each text once, so a repeated table gives the units of one copy; a hot text is dealt over salts."""
+    base = ["The crew saw the pump. It was shut.\n\nThe rigger left.", "Men ran to the ledge. Xenon was let out of flask no. 4. Yet all went well.", "Heading"]
+    read, gaps = [], sentences.gaps
+    monkeypatch.setattr(sentences, "gaps", lambda docs: read.append(docs.count()) or gaps(docs))
+    once = units(spark, base)
+    monkeypatch.setattr(sentences, "HOT_ROWS", 5, raising=False)
+    monkeypatch.setattr("hazardloom.operators.skew.HOT_ROWS", 5)
+    many = units(spark, base * 7)
+    assert read == [3, 3] and len(many) == 21 and all(many[k] == once[k % 3] for k in many)
+
+
 def test_posteriors_by_brute_force():
     """Forward-backward over documents of any size against the sum over all event sequences."""
     import itertools
