@@ -26,9 +26,17 @@ def matches(c: Column, *patterns: str) -> Column:
     return F.coalesce(c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
+def _head(pattern: str) -> str:
+    """The plain words that every match of a pattern begins with, in lower case."""
+    m = re.match(r"\\b([A-Za-z0-9 -]+)(?=([?*+{|]?))", pattern)
+    plain_alternation = "|" in re.sub(r"\([^()]*\)", "", pattern)
+    return "" if m is None or plain_alternation else (m[1][:-1] if m[2] else m[1]).lower()
+
+
 def found(c: Column, pattern: str) -> Column:
-    """All matches of one pattern, as they stand in the text."""
-    return F.coalesce(F.regexp_extract_all(c, F.lit(f"(?i){pattern}"), F.lit(0)), F.array().cast("array<string>"))
+    """All matches of one pattern, as they stand in the text. It only runs where its first words are contained, which a scan finds fast."""
+    all_ = F.coalesce(F.regexp_extract_all(c, F.lit(f"(?i){pattern}"), F.lit(0)), F.array().cast("array<string>"))
+    return F.when(F.lower(c).contains(_head(pattern)), all_).otherwise(F.array().cast("array<string>"))
 
 
 def found_all(c: Column, patterns: list[str]) -> Column:
@@ -76,18 +84,40 @@ def unsupported_script(c: Column) -> Column:
 def preprocessed(c: Column) -> Column:
     """Struct (redacted, processed, n_personal, script, negated, method): redact, spell, expand, suppress; a script that isn't supported ends it after the first."""
     plain, n = redacted(c)
-    script = unsupported_script(c)
-    clean = suppressed(F.when(script.isNull(), X.expand_abbreviations(X.correct_spelling(plain))))
+    return _preprocessed(plain, n, unsupported_script(c))
+
+
+def with_preprocessed(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the struct ``p`` of ``preprocessed``. Each step is a column of its own: inside one struct the
+    optimizer would write every step again wherever a field of it is read."""
+    c = F.col(text)
+    df = df.withColumns({"__c": c, "__n": F.lit(0), "__script": unsupported_script(c)})
+    for pattern, token in V.PERSONAL_PATTERNS:
+        df = df.withColumns({"__n": F.col("__n") + F.regexp_count("__c", F.lit(f"(?i){pattern}")), "__c": F.regexp_replace("__c", f"(?i){pattern}", token)})
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    holds = lambda c, words: reduce(_OR, (low(c).contains(w.lower()) for w in words))
+    read = F.col("__script").isNull()
+    df = df.withColumn("__spelt", F.when(read, F.when(holds(F.col("__c"), X.SPELLING), X.correct_spelling(F.col("__c"))).otherwise(F.col("__c"))))
+    df = df.withColumn("__spelt", F.when(holds(F.col("__spelt"), X.ABBREVIATIONS), X.expand_abbreviations(F.col("__spelt"))).otherwise(F.col("__spelt")))
+    df = df.withColumn("__clean", suppressed(F.col("__spelt")))
+    fields = _preprocessed(F.col("__c"), F.coalesce("__n", F.lit(0)), F.col("__script"), F.col("__clean"), parts=True)
+    df = df.withColumns({f"__{k}": v for k, v in fields.items()})
+    return df.withColumn("p", F.struct(*(F.col(f"__{k}").alias(k) for k in fields))).drop("__c", "__n", "__spelt", "__clean", *(f"__{k}" for k in fields))
+
+
+def _preprocessed(plain: Column, n: Column, script: Column, clean: Column | None = None, parts: bool = False) -> Column | dict[str, Column]:
+    clean = clean if clean is not None else suppressed(F.when(script.isNull(), X.expand_abbreviations(X.correct_spelling(plain))))
     no_phrases = F.array().cast("array<string>")
-    return F.struct(
-        plain.alias("redacted"), F.when(script.isNull(), clean["text"]).otherwise(plain).alias("processed"), n.cast("long").alias("n_personal"), script.alias("script"),
-        F.when(script.isNull(), F.coalesce(clean["negated_phrases"], no_phrases)).otherwise(no_phrases).alias("negated"), F.when(script.isNull(), clean["method"]).otherwise("unsupported_language").alias("method"),
-    )
+    fields = {
+        "redacted": plain, "processed": F.when(script.isNull(), clean["text"]).otherwise(plain), "n_personal": n.cast("long"), "script": script,
+        "negated": F.when(script.isNull(), F.coalesce(clean["negated_phrases"], no_phrases)).otherwise(no_phrases), "method": F.when(script.isNull(), clean["method"]).otherwise("unsupported_language"),
+    }
+    return fields if parts else F.struct(*(v.alias(k) for k, v in fields.items()))
 
 
 def guard(processed: Column, script: Column, probability: Column) -> Column:
     """What stands before a prediction, in order; null probabilities are a model that isn't loaded."""
-    personal = redacted(processed)[1] > 0
+    personal = matches(processed, *(p for p, _ in V.PERSONAL_PATTERNS))
     nothing = (F.trim(F.coalesce(processed, F.lit(""))) == "") | matches(processed, V.CONFIRMED_CONTROL) | matches(processed, V.SPARSE_MATERIAL)
     return (
         F.when(script.isNotNull(), "LANGUAGE_UNSUPPORTED").when(personal, "PII_REDACTION_REQUIRED").when(probability.isNull(), "NO_MODEL_LOADED")
@@ -111,14 +141,17 @@ def concept_score(sentences: Column, rule: str) -> Column:
     """Best score of a rule's concepts over sentences: two groups at least, all three where there are three, else 0."""
     profile = V.CONCEPT_PROFILES[rule]
 
-    def one(s: Column) -> Column:
-        groups = [[F.when(s.rlike(concept_pattern(w)), 1).otherwise(0) for w in group] for group in profile]
-        hits = reduce(_ADD, (x for g in groups for x in g))
-        covered = reduce(_ADD, (F.when(F.greatest(*g) > 0, 1).otherwise(0) for g in groups))
-        score = 0.54 + 0.12 * (covered / F.lit(len(profile))) + F.least(F.lit(0.12), 0.02 * hits)
+    # the hits of each group are made once a sentence; a pattern only runs where its plain words are contained
+    named = lambda s, w: F.when(s.contains(w) & s.rlike(concept_pattern(w)), 1).otherwise(0)
+    counts = F.transform(sentences, lambda s: F.array(*(reduce(_ADD, (named(s, w) for w in group)) for group in profile)))
+
+    def one(n: Column) -> Column:
+        groups = [F.get(n, F.lit(k)) for k in range(len(profile))]
+        covered = reduce(_ADD, (F.when(g > 0, 1).otherwise(0) for g in groups))
+        score = 0.54 + 0.12 * (covered / F.lit(len(profile))) + F.least(F.lit(0.12), 0.02 * reduce(_ADD, groups))
         return F.when(covered >= (3 if len(profile) == 3 else 2), F.round(score, 3)).otherwise(0.0)
 
-    return F.coalesce(F.array_max(F.transform(sentences, one)), F.lit(0.0))
+    return F.coalesce(F.array_max(F.transform(counts, one)), F.lit(0.0))
 
 
 @dataclass(frozen=True)
@@ -170,20 +203,20 @@ def _touches(found_texts: Column, named: tuple[str, ...]) -> Column:
     return F.exists(found_texts, lambda x: reduce(_OR, (F.lower(x).contains(n.lower()) | F.lit(n.lower()).contains(F.lower(x)) for n in named)))
 
 
-def _rule_tag(low: Column, f: Column, sentences: Column, rule: Rule) -> Column:
+def _rule_tag(low: Column, f: Column, scores: Column, rule: Rule) -> Column:
     hit = {p: low.contains(p.lower()) for p in rule.phrases}
     count = lambda conditions: reduce(_ADD, (F.when(c, 1).otherwise(0) for c in conditions), F.lit(0))
     n_phrases = count(hit.values())
     words = []
     for w in rule.keywords:
         spoken = [hit[p] for p in rule.phrases if w.lower() in p.lower()]  # a word of a phrase that is there counts with it
-        named = low.rlike(rf"\b{re.escape(w.lower())}\b")
+        named = low.contains(w.lower()) & low.rlike(rf"\b{re.escape(w.lower())}\b")
         words.append(named & ~reduce(_OR, spoken) if spoken else named)
     n_words = count(words)
     energy = F.arrays_overlap(f["energy_types"], F.array(*map(F.lit, rule.energies))) if rule.energies else F.lit(False)
     barrier, exposure = _touches(f["barrier_failures"], rule.barriers), _touches(f["proximity_hits"], rule.exposures)
     crossed = energy & (barrier | exposure)
-    alike = concept_score(sentences, rule.id) if rule.id in V.CONCEPT_PROFILES else F.lit(0.0)
+    alike = scores[rule.id] if rule.id in V.CONCEPT_PROFILES else F.lit(0.0)
     told = alike >= V.CONCEPT_MATCH
     by_phrase = 0.65 + F.least(F.lit(0.20), 0.06 * n_phrases)
     base = (
@@ -198,19 +231,27 @@ def _rule_tag(low: Column, f: Column, sentences: Column, rule: Rule) -> Column:
 
 
 def with_signals(df: DataFrame, processed: str) -> DataFrame:
-    """``df`` with ``low``, ``f`` (features) and ``sentences`` of a column, made once for all rules."""
-    c = F.col(processed)
-    return df.withColumns({"low": F.lower(c), "f": features(c), "sentences": concept_sentences(c)})
+    """``df`` with ``low``, ``f`` (features), ``sentences`` and ``scores`` (of concepts by rule) of a column, made once for all rules."""
+    df = df.withColumn("__text", F.col(processed))
+    c = F.col("__text")
+    by_type = {k: found_all(c, p) for k, p in V.ENERGY_PATTERNS.items()}
+    made = {f"__e_{k}": v for k, v in by_type.items()} | {"__near": found_all(c, V.PROXIMITY_PATTERNS), "__failed": found_all(c, V.BARRIER_FAILURE_PATTERNS)}
+    df = df.withColumns(made | {"low": F.lower(c), "sentences": concept_sentences(c)})
+    types = F.filter(F.array(*(F.when(F.size(f"__e_{k}") > 0, F.lit(k)) for k in by_type)), lambda x: x.isNotNull())
+    scores = {f"__s_{r}": concept_score(F.col("sentences"), r) for r in V.CONCEPT_PROFILES}
+    df = df.withColumns({"__types": types, "__spans": F.concat(*map(F.col, made))} | scores).withColumn("__spans", distinct_spans(F.col("__spans")))
+    f = F.struct(F.col("__types").alias("energy_types"), F.col("__near").alias("proximity_hits"), F.col("__failed").alias("barrier_failures"), F.col("__spans").alias("spans"))
+    return df.withColumns({"f": f, "scores": F.struct(*(F.col(k).alias(k[4:]) for k in scores))}).drop("__text", "__types", "__spans", *made, *scores)
 
 
 def rule_tags(processed: Column, catalogue: list[Rule] | None = None, threshold: float = 0.5) -> Column:
     """Tags of a narrative by falling confidence, then rule, over the columns of ``with_signals``. A control stated to be in place, or a bare movement of material, has none."""
-    low, f, sentences = F.col("low"), F.col("f"), F.col("sentences")
-    tags = F.filter(F.array(*(_rule_tag(low, f, sentences, r) for r in catalogue or own_catalogue())), lambda t: t["confidence"] >= threshold)
+    low, f, scores = F.col("low"), F.col("f"), F.col("scores")
+    tags = F.filter(F.array(*(_rule_tag(low, f, scores, r) for r in catalogue or own_catalogue())), lambda t: t["confidence"] >= threshold)
     quiet = (F.size(f["energy_types"]) + F.size(f["proximity_hits"]) + F.size(f["barrier_failures"])) == 0
     none = matches(processed, V.CONFIRMED_CONTROL) | F.coalesce(low.contains("forklift") & low.contains("pipe bundle") & quiet, F.lit(False))
     order = F.array_sort(tags, lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).when(a["rule_id"] < b["rule_id"], -1).otherwise(1))
-    return F.when(none | processed.isNull(), F.filter(tags, lambda t: F.lit(False))).otherwise(order)
+    return F.filter(order, lambda t: ~(none | processed.isNull()))
 
 
 def _first(c: Column, patterns: list[str]) -> Column:
@@ -238,9 +279,19 @@ def location(c: Column, equipment: Column) -> Column:
 
 def precursor(c: Column, equipment: Column) -> Column:
     """Struct of activity, location, failed barrier and hazard with rule, evidence and confidence: the first member of each taxonomy counts, the others are secondary."""
-    acts, bars, hazards = (_members(c, t) for t in (V.ACTIVITIES, V.BARRIERS, V.HAZARDS))
+    return _precursor(c, *(_members(c, t) for t in (V.ACTIVITIES, V.BARRIERS, V.HAZARDS)), location(c, equipment))
+
+
+def with_precursor(df: DataFrame, text: str, equipment: str) -> DataFrame:
+    """``df`` with the struct ``precursor``, whose members and place are made once."""
+    df = df.withColumn("__text", F.col(text))
+    c = F.col("__text")
+    made = {f"__{k}": _members(c, t) for k, t in (("acts", V.ACTIVITIES), ("bars", V.BARRIERS), ("hazards", V.HAZARDS))} | {"__place": location(c, F.col(equipment))}
+    return df.withColumns(made).withColumn("precursor", _precursor(c, *map(F.col, made))).drop("__text", *made)
+
+
+def _precursor(c: Column, acts: Column, bars: Column, hazards: Column, place: Column) -> Column:
     act, bar, hazard = (F.get(x, F.lit(0)) for x in (acts, bars, hazards))
-    place = location(c, equipment)
     sure = lambda x: F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in V.METHOD_CONFIDENCE.items() for v in kv)), x["method"]), F.lit(0.0))
     n = reduce(_ADD, (F.when(x.isNotNull(), 1).otherwise(0) for x in (act, place, bar, hazard)))
     rest = lambda x: F.transform(F.slice(x, 2, 100), lambda m: m["name"])

@@ -43,7 +43,8 @@ def _(spark, d):
 @REG.add("x13_preprocessed")
 def _(spark, d):
     """Redacted, spelt, expanded, negations suppressed; a script that isn't supported ends it early."""
-    r = spread(reports_of(spark, d, "raw_text")).select("id", P.preprocessed(F.col("raw_text")).alias("p"))
+    r = spread(reports_of(spark, d, "raw_text"))
+    r = P.with_preprocessed(r, "raw_text")
     return r.select("id", "p.processed", "p.n_personal", "p.script", "p.negated", "p.method")
 
 
@@ -90,7 +91,7 @@ def _(spark, d):
 
 
 def _processed(spark, d):
-    return spread(reports_of(spark, d, "raw_text", "equipment_type")).select("id", "equipment_type", P.preprocessed(F.col("raw_text")).alias("p"))
+    return P.with_preprocessed(spread(reports_of(spark, d, "raw_text", "equipment_type")), "raw_text").select("id", "equipment_type", "p")
 
 
 @REG.add("t04_full_rule_tags")
@@ -104,13 +105,14 @@ def _classified(spark, d):
     """One struct a report; the probability is the model's last statement on it (``classifications``)."""
     p = _processed(spark, d).join(classifications(spark, d).select(F.col("report_id").alias("id"), "sif_probability"), "id", "left")
     status = P.guard(F.col("p.processed"), F.col("p.script"), F.col("sif_probability"))
-    score = F.when(status == "UNCALIBRATED_FALLBACK", F.least(F.greatest(F.col("sif_probability"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    score = F.when(F.col("status") == "UNCALIBRATED_FALLBACK", F.least(F.greatest(F.col("sif_probability"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     band = F.when(F.col("status") == "LANGUAGE_UNSUPPORTED", "LANGUAGE_UNSUPPORTED_NEEDS_REVIEW").when(F.col("score") >= BANDS[0], "SIF_LIKELY").when(F.col("score") >= BANDS[1], "UNCERTAIN").otherwise("NON_SIF")
-    pos, label, sure = X.vote_label(list(X.weak_votes(F.col("p.processed")).values()))
+    votes = X.weak_votes(F.col("p.processed"))
+    pos, label, sure = X.vote_label([F.col(k) for k in votes])
     read = F.col("p.script").isNull()
-    told = P.with_signals(p.withColumns({"status": status, "score": F.round(score, 4)}), "p.processed")
+    told = P.with_signals(p.withColumns({"status": status} | votes).withColumn("score", F.round(score, 4)), "p.processed")
     return told.select(
-        "id", "p", "equipment_type", "low", "f", "sentences", "status", "score", band.alias("state"), F.when(read, label).alias("weak_label"), F.when(read, F.round(sure, 4)).alias("weak_confidence"),
+        "id", "p", "equipment_type", "low", "f", "scores", "status", "score", band.alias("state"), F.when(read, label).alias("weak_label"), F.when(read, F.round(sure, 4)).alias("weak_confidence"),
         F.when(read, P.phrases(F.col("f.spans"))).alias("phrases"),
     )
 
@@ -130,9 +132,9 @@ def _(spark, d):
 @REG.add("t01_text_pipeline")
 def _(spark, d):
     """Everything the pipeline says of a narrative in one row: texts, classification, tags and precursor."""
-    c = _classified(spark, d)
+    c = P.with_precursor(_classified(spark, d), "p.processed", "equipment_type")
     read = F.col("p.script").isNull()
-    return c.select("id", F.col("p.redacted").alias("redacted"), F.col("p.processed").alias("processed"), "status", "score", "state", "weak_label", "phrases", F.when(read, P.rule_tags(F.col("p.processed"))).alias("tags"), F.when(read, P.precursor(F.col("p.processed"), F.col("equipment_type"))).alias("precursor"))
+    return c.select("id", F.col("p.redacted").alias("redacted"), F.col("p.processed").alias("processed"), "status", "score", "state", "weak_label", "phrases", F.when(read, P.rule_tags(F.col("p.processed"))).alias("tags"), F.when(read, F.col("precursor")).alias("precursor"))
 
 
 _CAP = 200

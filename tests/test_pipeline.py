@@ -89,3 +89,12 @@ def test_catalogue_as_parameter(spark, tmp_path):
         path.write_text(json.dumps(bad))
         with pytest.raises(ValueError):
             P.load_catalogue(str(path))
+
+
+def test_each_pattern_is_written_once(spark):
+    """The optimizer copies what is read from inside a struct; no pattern of features or concepts may multiply that way."""
+    import __spark_entry__
+
+    df = __spark_entry__.queries()["t01_text_pipeline"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 70
