@@ -9,7 +9,8 @@ their contents do: every (file, field) has a profile of fixed length (hashed cou
 words, mean length, share of each type), and pairs are matched best first, mutually. The cells of a batch are
 parsed, typed and profiled in vectors.
 
-Defined cases: null or unreadable lines and files without a sequence add nothing; a field whose values are
+Defined cases: null or unreadable lines and files without a sequence add nothing; a csv header that can't be parsed gives
+no fields, so its file is compared with none, and a warning of the task names it; a field whose values are
 all missing has no type, which is no change of type; fields inside objects are paths (``site->name``), compared
 where both files have an object there; integers beside decimals are decimals, anything
 beside text is text, other mixtures take the most frequent type (ties in the order of ``TYPES``); repeated rows change no result; an empty
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -83,6 +85,9 @@ class Cells:
 
 
 def _csv_cells(header: str, at: np.ndarray, files: np.ndarray, lines: list[str]) -> Cells:
+    if not delimited.readable(header):  # its one "name" would pass for a change of every field
+        warnings.warn(f"no fields are read of files {sorted(set(files.tolist()))[:10]}: their header can't be parsed: {header[:80]!r}", stacklevel=2)
+        return Cells(np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.int8), pa.array([], pa.string()), [])
     parsed = delimited.parse_lines(header, lines)
     bad = np.zeros(len(lines), dtype=bool)
     for mask in delimited.failing_cells(parsed.names, parsed.columns).values():

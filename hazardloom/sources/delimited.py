@@ -53,6 +53,15 @@ def header_fields(header: str) -> tuple[str, ...]:
         return (header,)
 
 
+@lru_cache(maxsize=4096)
+def readable(header: str) -> bool:
+    """Whether a header holds field names: no quote is left open and nothing follows a closing one."""
+    try:
+        return bool(next(csv.reader([header.lstrip("\ufeff")], delimiter=delimiter_of(header), strict=True), []))
+    except csv.Error:
+        return False
+
+
 @dataclass
 class Parsed:
     """``reason``: None, ``quoting`` or ``column_count`` for each line. ``at``: lines that have fields, in the order of ``columns``."""

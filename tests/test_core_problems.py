@@ -157,3 +157,15 @@ def test_local_times_by_brute_force(spark):
         # fold 0 is the earlier of two instants and the offset before a jump
         want[str(k)] = t.replace(tzinfo=zone, fold=0).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     assert normalised(spark, rows) == want
+
+
+@pytest.mark.parametrize("header", ['a,"b,c', "a,b\rc,d", 'a,"b"x,c'])
+def test_an_unreadable_header_is_no_field(header):
+    import pandas as pd
+
+    from hazardloom.operators import schema_drift
+
+    pdf = pd.DataFrame({"file_id": [1, 2], "file_format": "csv", "header": [header, "a,b"], "line_text": ["1,2,3", "1,2"]})
+    with pytest.warns(UserWarning, match="files .1.: their header"):
+        cells = schema_drift.batch_cells(pdf)
+    assert cells.shown == [] and sorted(cells.path) == ["a", "b"] and set(cells.row) == {1}
